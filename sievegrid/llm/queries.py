@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import live_rows
 from ..sources.tables import table
-from . import neardup, split
+from . import neardup, residue, split, vectors
 
 #: Limit and overlap in characters.
 LIMITS = {"documents": (4000, 200), "chunks": (1000, 200), "sections": (1200, 50)}
@@ -43,7 +43,24 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*_alike(spark, d)).withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest_vectors(table(spark, d, "chroma_store"), "id", "vector", k=5, dim=64, at="loaded_at")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p3_nearest(spark, d).where("cosine >= 0.9")
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_scores(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id").withColumn("coverage", F.round("coverage", 4))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_scores(table(spark, d, "documents"), "doc_id", "text").where("coverage >= 0.4").select(F.col("id").alias("doc_id")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """
