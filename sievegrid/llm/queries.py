@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import live_rows
 from ..sources.tables import table
-from . import neardup, residue, split, vectors
+from . import neardup, pages, residue, split, vectors
 
 #: Limit and overlap in characters.
 LIMITS = {"documents": (4000, 200), "chunks": (1000, 200), "sections": (1200, 50)}
@@ -60,7 +60,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_scores(table(spark, d, "documents"), "doc_id", "text").where("coverage >= 0.4").select(F.col("id").alias("doc_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p8_found": p8_found, "p8_scores": p8_scores}
+def _page_rows(spark: SparkSession, d: str) -> DataFrame:
+    return pages.records({"documents": (table(spark, d, "documents"), "doc_id", "text"), "noisy_chunks": (table(spark, d, "noisy_chunks"), "noise_id", "input")})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    lines, _ = pages.find_damage(_page_rows(spark, d))
+    return lines.select("record_table", "record_key", "line_no", "kind").distinct()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    rows = _page_rows(spark, d).distinct()
+    return pages.repair_pages(rows, pages.find_damage(rows)[0])
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_repaired": p4_repaired, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """
