@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import live_rows
 from ..sources.tables import table
-from . import neardup, pages, residue, split, vectors
+from . import mixing, neardup, packing, pages, residue, split, tokens, vectors
 
 #: Limit and overlap in characters.
 LIMITS = {"documents": (4000, 200), "chunks": (1000, 200), "sections": (1200, 50)}
@@ -74,7 +74,33 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return pages.repair_pages(rows, pages.find_damage(rows)[0])
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_repaired": p4_repaired, "p8_found": p8_found, "p8_scores": p8_scores}
+#: Tokens of a training sequence.
+CAPACITY = 2048
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    sized = tokens.count_tokens(table(spark, d, "documents"), "doc_id", "text", [])
+    return packing.pack(sized, CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, d), CAPACITY)
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.count_tokens(table(spark, d, "documents"), "doc_id", "text", ["source"])
+    return mixing.mix_sources(sized, table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
 
 SQL = {
     "p1_found": """
