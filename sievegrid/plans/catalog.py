@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import integrity
+from . import integrity, retrieval
 
-_PARTS = (integrity,)
+_PARTS = (retrieval, integrity)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
+
+
+def flagship(spark, d: str):
+    return QUERIES["L5_hybrid"](spark, d)
