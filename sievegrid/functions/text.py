@@ -51,7 +51,7 @@ def filter_pairs(c) -> Column:
     """Array of ``(key, value)`` of the ``key:value`` parts, short keys written out."""
     names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     pairs = F.arrays_zip(extract_all(collapse(c), FILTER, 1).alias("k"), extract_all(collapse(c), FILTER, 2).alias("v"))
-    return F.transform(pairs, lambda p: F.struct(F.coalesce(F.element_at(names, F.lower(p["0"])), p["0"]).alias("key"), p["1"].alias("value")))
+    return F.transform(pairs, lambda p: F.struct(F.coalesce(F.element_at(names, F.lower(p["k"])), p["k"]).alias("key"), p["v"].alias("value")))
 
 
 def query_tokens(c) -> Column:

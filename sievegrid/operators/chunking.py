@@ -118,7 +118,7 @@ def tables(docs: DataFrame) -> DataFrame:
     marked = lines.withColumn("bar", bar).withColumn("rule", rule).withColumn("starts", bar & ~rule & F.coalesce(F.lead(rule).over(w), F.lit(False)))
     marked = marked.withColumn("table_no", F.sum(F.col("starts").cast("int")).over(w)).withColumn("stop", F.sum((~F.col("bar")).cast("int")).over(w))
     first = F.max(F.when(F.col("starts"), F.col("stop"))).over(Window.partitionBy("doc_id", "table_no"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = marked.where("table_no > 0").withColumn("first", first).where("stop = first and bar and not rule").withColumn("cells", cells)
     g = rows.groupBy("doc_id", "source_path", "table_no").agg(F.array_sort(F.collect_list(F.struct("pos", "cells"))).alias("rs"))
     return g.select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import integrity, retrieval
+from . import integrity, retrieval, stores, texts
 
-_PARTS = (retrieval, integrity)
+_PARTS = (retrieval, texts, stores, integrity)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
