@@ -53,6 +53,20 @@ class CrossPolytope:
         return key
 
 
+def _largest(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest entries of every row; the width is a multiple of 64. They lie in the ``k`` blocks of 64 with the largest maxima,
+    so only these are looked at closely."""
+    n, blocks = len(s), s.reshape(len(s), -1, 64)
+    m = blocks.shape[1]
+    if m > k:
+        pick = np.argpartition(-blocks.max(axis=2), k - 1, axis=1)[:, :k]
+    else:
+        pick = np.broadcast_to(np.arange(m), (n, m))
+    near = blocks[np.arange(n)[:, None], pick].reshape(n, -1)
+    in_near = np.argpartition(-near, k - 1, axis=1)[:, :k] if near.shape[1] > k else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+    return np.take_along_axis(pick, in_near // 64, axis=1) * 64 + in_near % 64
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     wide = raw.astype(np.float64)
     wide /= np.abs(wide).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -138,32 +152,39 @@ def nearest_vectors(
                     names=["tab", "bucket", "part", "role", "cid", "v"],
                 )
 
-    near = pa.list_(pa.struct([("loss", pa.float64()), ("other", pa.int64())]))
-
     def score(group: pa.Table) -> pa.Table:
         v = _unit(np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim))
         cid, role = group.column("cid").to_numpy(), group.column("role").to_numpy()
         q, x = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
-        small, out, ids = v.astype(np.float32), [], []
+        small, parts = v.astype(np.float32), []
+        both = not role.any()  # queries and candidates are the same rows
         top = min(k, len(x))
         if not top:
             q = q[:0]
+        wide = -(-len(x) // 64) * 64
+        right = np.zeros((wide, dim), dtype=np.float32)
+        right[: len(x)] = small[x]
         for at_ in range(0, len(q), 512):
             rows = q[at_ : at_ + 512]
-            s = small[rows] @ small[x].T
-            s[cid[rows][:, None] == cid[x][None, :]] = -2
-            best = np.argpartition(-s, top - 1, axis=1)[:, :top] if top < len(x) else np.tile(np.arange(len(x)), (len(rows), 1))
+            s = small[rows] @ right.T
+            s[:, len(x) :] = -3
+            if both:
+                s[np.arange(len(rows)), at_ + np.arange(len(rows))] = -2
+            else:
+                s[:, : len(x)][cid[rows][:, None] == cid[x][None, :]] = -2
+            best = _largest(s, top)
             exact = np.einsum("ijk,ik->ij", v[x[best]], v[rows])
-            for i, r in enumerate(rows):
-                keep = [{"loss": -c, "other": o} for c, o in zip(exact[i].tolist(), cid[x[best[i]]].tolist()) if o != cid[r]]
-                if keep:
-                    ids.append(cid[r])
-                    out.append(keep)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(out, near)], names=["cid", "near"])
+            other = cid[x[best]]
+            keep = other != cid[rows][:, None]
+            parts.append((cid[rows], keep.sum(axis=1), -exact[keep], other[keep]))
+        ids, n, loss, other = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        pairs = pa.StructArray.from_arrays([pa.array(loss, pa.float64()), pa.array(other, pa.int64())], names=["loss", "other"])
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pairs)], names=["cid", "near"])
 
     laid = classes.select("cid", "v").mapInArrow(lay, "tab int, bucket bigint, part bigint, role int, cid bigint, v binary")
     scored = laid.groupBy("tab", "bucket", "part").applyInArrow(score, "cid bigint, near array<struct<loss: double, other: bigint>>")
-    best = scored.groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    best = scored.where(F.size("near") > 0).groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
     first = Window.partitionBy("class_id").orderBy("id")
     members = vectors.join(classes, "v").select("id", "class_id", "cid")
