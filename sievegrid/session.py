@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,23 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> Spar
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "sievegrid.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, Path(home.name) / f.relative_to(home))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
