@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluate, evidence, fuse, index, retrieve
 from ..operators.lifecycle import where
 from ..operators.versions import live_rows
+from ..session import materialize
 from ..sources.tables import table
 
 DIM = 64
@@ -95,7 +96,7 @@ def L2_dense_filtered(spark, d):
 
 
 def _overlap(spark, d):
-    r = fuse.rrf(lists(spark, d))
+    r = materialize(fuse.rrf(lists(spark, d)), "ranking")  # read three times
     return r, overlap_scores(spark, d, r)
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking
+from ..session import spread
 from ..sources.tables import table
 from .retrieval import GOLD, LIVE, TOKENS, golden, live_chunks
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _typed(spark, d):

@@ -71,3 +71,10 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, max_bytes: int = 64 << 20)
     """``df`` with a broadcast hint where its counted size stays under ``max_bytes``; otherwise as it
     is, so the join shuffles. ``df`` should be materialised, as it is counted here."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over fewer files or row groups than there are cores, dealt to all of them; a larger one as it is. ``scan`` must not hold a shuffle, as counting its
+    partitions would run it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
