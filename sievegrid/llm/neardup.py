@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import broadcast_if_small, materialize
+from ..session import broadcast_if_small, materialize, spread
 from .arrow import map_columns
 
 WORD = re.compile(r"[^\W_]+")
@@ -166,7 +166,7 @@ def near_duplicates(
         (F.col(at) if at else F.lit(0)).alias("at"),
         (F.col(deleted).isNotNull() if deleted else F.lit(False)).alias("gone"),
     )
-    sk = materialize(sketch_texts(src, "id", "text", ["at", "gone"], bands, rows, bits), "sketches")
+    sk = materialize(sketch_texts(spread(src), "id", "text", ["at", "gone"], bands, rows, bits), "sketches")
     # a current row without a word has no sketch, so the versions are taken from the table itself
     states = src.groupBy("id").agg(F.max("at").alias("now"), F.max(F.when(F.col("gone"), F.col("at"))).alias("gone_at"))
     alive = states.where("gone_at is null or gone_at < now").select(F.col("id").alias("live_id"), "now")

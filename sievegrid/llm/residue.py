@@ -9,6 +9,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .arrow import map_columns
 
 SLOT = "⟦slot⟧"
@@ -173,6 +174,7 @@ def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float
     Null and blank texts give no row; repeated rows give one row each.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
+    rows = spread(rows)
     known = _vocabulary()
 
     def count(b: dict[str, list]) -> dict[str, list]:

@@ -7,6 +7,7 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .arrow import map_columns
 
 #: Where the vocabulary file lies on every executor; a parameter of all operators that count tokens.
@@ -37,4 +38,4 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], voc
         enc = encoder(vocabulary)
         return {k: b[k] for k in ("id", *keep)} | {"n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["__text"]]}
 
-    return map_columns(rows, run, ", ".join([f"id {kinds[id_col]}", *[f"`{k}` {kinds[k]}" for k in keep], "n_tokens bigint"]))
+    return map_columns(spread(rows), run, ", ".join([f"id {kinds[id_col]}", *[f"`{k}` {kinds[k]}" for k in keep], "n_tokens bigint"]))
