@@ -134,3 +134,23 @@ def refine(c) -> Column:
 def locator(first, last) -> Column:
     a, b = col(first), col(last)
     return F.when(a.isNull(), None).when(b.isNull() | (a == b), F.concat(F.lit("p. "), a.cast("string"))).otherwise(F.concat(F.lit("pp. "), a.cast("string"), F.lit("–"), b.cast("string")))
+
+
+def merged_filters(parsed, explicit) -> Column:
+    """Row predicates: explicit filters over parsed ones; the collection is a route, no predicate."""
+    old = F.map_filter(col(parsed), lambda k, v: ~F.map_contains_key(col(explicit), k))
+    return F.map_filter(F.map_concat(old, col(explicit)), lambda k, v: k != "collection")
+
+
+def asset_references(text, figures, tables) -> Column:
+    """``Figure n`` and ``Table n`` written as references to the n-th id of ``figures`` and ``tables``; unknown numbers stay."""
+    def fold(t: Column, ids: Column, words: str, mark: str) -> Column:
+        steps = F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x, i: F.struct(x.alias("id"), (i + 1).cast("string").alias("n")))
+        return F.aggregate(steps, t, lambda a, s: F.regexp_replace(a, F.concat(F.lit(rf"(?i)\b(?:{words})\s*"), s["n"], F.lit(r"(?!\d)")), F.concat(F.lit(f"[{mark}: "), s["id"], F.lit("]"))))
+
+    return fold(fold(col(text), col(figures), r"figure|fig\.", "FIG_REF"), col(tables), "table", "TABLE_REF")
+
+
+def citation_contexts(c, around: int = 40) -> Column:
+    """Citation markers with up to ``around`` characters on either side, without overlap."""
+    return extract_all(c, rf"(?s).{{0,{around}}}\[[0-9,\s]+\].{{0,{around}}}")

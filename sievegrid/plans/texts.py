@@ -79,7 +79,19 @@ def I21_paper_fields(spark, d):
     ).where("n_citations >= 0")
 
 
+def C2_merged_filters(spark, d):
+    g = golden(spark, d).select("query_id", F.create_map(F.lit("collection"), F.coalesce("collection", F.lit("")), F.lit("doc_type"), F.lit("pdf"), F.lit("lang"), F.lit("de")).alias("parsed"), F.create_map(F.lit("doc_type"), F.lit("paper")).alias("explicit"))
+    return g.select("query_id", F.explode(T.merged_filters("parsed", "explicit")).alias("key", "value"))
+
+
+def I22_annotations(spark, d):
+    c = live_chunks(spark, d)
+    return c.select("chunk_id", F.size(T.extract_all("text", r"\[IMAGE: [^\]]+\]")).alias("n_images"), F.size(T.extract_all("text", r"\$[^$\n]+\$")).alias("n_equations"), F.size(T.citation_contexts("text")).alias("n_contexts"), F.size(T.extract_all("text", r"\[[0-9,\s]+\]")).alias("n_citations")).where("n_images >= 0")
+
+
 QUERIES = {
+    "C2_merged_filters": C2_merged_filters,
+    "I22_annotations": I22_annotations,
     "C1_filter_syntax": C1_filter_syntax,
     "I3_query_tokens": I3_query_tokens,
     "I4_keywords": I4_keywords,
@@ -115,6 +127,9 @@ for _p, _r in (("(?s)<!--.*?-->", "''"), ("<[^>]+>", "''"), (" {{2,}}", "' '"),
 _FENCE = "(?s)```.*?```"
 
 SQL = {
+    "C2_merged_filters": f"with {GOLD} select query_id, unnest(['doc_type', 'lang']) as key, unnest(['paper', 'de']) as value from gold",
+    "I22_annotations": f"""with {LIVE} select chunk_id, len(regexp_extract_all(text, '\\[IMAGE: [^\\]]+\\]'))::int n_images, len(regexp_extract_all(text, '\\$[^$\\n]+\\$'))::int n_equations,
+ len(regexp_extract_all(text, '(?s).{{0,40}}\\[[0-9,\\s]+\\].{{0,40}}'))::int n_contexts, len(regexp_extract_all(text, '\\[[0-9,\\s]+\\]'))::int n_citations from live where text is not null""",
     "C1_filter_syntax": f"""with {GOLD}, q as (select query_id, concat_ws(' ', query, 'c:' || collection, 'tags:' || query_type || ',x', 'Lang:de') query from gold),
 p as (select query_id, unnest(regexp_extract_all({_C.format('query')}, '{T.FILTER}', 1)) k, unnest(regexp_extract_all({_C.format('query')}, '{T.FILTER}', 2)) v from q)
 select query_id, coalesce(case lower(k) {_ALIAS} end, k) as key, v as value from p""",
