@@ -100,9 +100,9 @@ def nearest_vectors(
     table all pairs are scored as matrix products, in tiles of at most ``tile`` vectors a side (larger buckets are dealt to several
     tiles, none is cut off); the best ``k`` of a tile get exact cosines in double precision, and the best ``k`` over
     all tiles stay. With 16 tables of one function and one probe about a fifth of the collection is
-    scored for a vector. The work grows with the square of a bucket: from some millions of vectors on take
-    ``functions=2`` with more probes, which makes buckets about 128 times smaller. Only bucket sizes, at most
-    ``tables * 128 ** functions`` numbers, come to the driver.
+    scored for a vector. The work grows with the square of a bucket. Where only near vectors matter, ``functions=2`` makes buckets about 128
+    times smaller and still brings pairs of a cosine of 0.9 together in some table. Only the sizes of buckets over ``tile``, at most
+    ``tables`` times the number of vectors over ``tile``, come to the driver.
     """
     maker = CrossPolytope(dim, tables, functions, probes)
     vectors = materialize(usable_vectors(df, id_col, vec_col, dim, at), "vectors")
@@ -178,12 +178,65 @@ def nearest_vectors(
             keep = other != cid[rows][:, None]
             parts.append((cid[rows], keep.sum(axis=1), -exact[keep], other[keep]))
         ids, n, loss, other = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        return as_lists(ids, n, loss, other)
+
+    def as_lists(ids: np.ndarray, n: np.ndarray, loss: np.ndarray, other: np.ndarray) -> pa.Table:
         offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
         pairs = pa.StructArray.from_arrays([pa.array(loss, pa.float64()), pa.array(other, pa.int64())], names=["loss", "other"])
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pairs)], names=["cid", "near"])
 
+    keys_ = ["tab", "bucket", "part"]
     laid = classes.select("cid", "v").mapInArrow(lay, "tab int, bucket bigint, part bigint, role int, cid bigint, v binary")
-    scored = laid.groupBy("tab", "bucket", "part").applyInArrow(score, "cid bigint, near array<struct<loss: double, other: bigint>>")
+
+    def score_runs(batches):  # rows come sorted, so a tile is a run of equal keys; a task holds one tile and one batch
+        def runs(t: pa.Table) -> np.ndarray:
+            ks = [t.column(c).to_numpy() for c in keys_]
+            return np.concatenate(([0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in ks])) + 1, [len(t)]))
+
+        def score_small(t: pa.Table, v: np.ndarray, at_: np.ndarray, m: int) -> pa.Table:  # all tiles of m rows as one batched product
+            cid, role = t.column("cid").to_numpy(), t.column("role").to_numpy()
+            rows = at_[:, None] + np.arange(m)
+            s = np.matmul(v[rows], v[rows].transpose(0, 2, 1))
+            ids, roles = cid[rows], role[rows]
+            wrong = (ids[:, :, None] == ids[:, None, :]) | (roles[:, :, None] == 2) | (roles[:, None, :] == 1)
+            s[wrong] = -2
+            top = min(k, m)
+            best = np.argpartition(-s, top - 1, axis=2)[:, :, :top].reshape(-1, top)
+            keep = ~np.take_along_axis(wrong.reshape(-1, m), best, axis=1)
+            q, other = rows.reshape(-1), np.repeat(at_, m)[:, None] + best
+            some = keep.any(axis=1)
+            q, other, keep = q[some], other[some], keep[some]
+            exact = np.einsum("ijk,ik->ij", v[other], v[q])
+            return as_lists(cid[q], keep.sum(axis=1), -exact[keep], cid[other][keep])
+
+        def scored_runs(t: pa.Table, ends: np.ndarray):
+            starts, sizes_ = ends[:-1], np.diff(ends)
+            parts = [score(t.slice(a, n)) for a, n in zip(starts[sizes_ > 32], sizes_[sizes_ > 32])]
+            few = [m for m in range(2, 33) if (sizes_ == m).any()]
+            v = _unit(np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim)) if few else None
+            parts += [score_small(t, v, starts[sizes_ == m], m) for m in few]
+            return pa.concat_tables(parts).combine_chunks().to_batches() if parts else []
+
+        open_: list[pa.Table] = []  # pieces of the tile at the end of the rows so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            ends = runs(t)
+            same = not open_ or all(open_[-1].column(c)[-1] == t.column(c)[0] for c in keys_)
+            if same and len(ends) == 2:
+                open_.append(t)
+                continue
+            whole = pa.concat_tables([*open_, t.slice(0, ends[1])] if same else open_).combine_chunks()
+            yield from scored_runs(whole, np.array([0, len(whole)]))
+            first = 1 if same else 0
+            yield from scored_runs(t, ends[first:-1])
+            open_ = [t.slice(ends[-2])]
+        if open_:
+            whole = pa.concat_tables(open_).combine_chunks()
+            yield from scored_runs(whole, np.array([0, len(whole)]))
+
+    scored = laid.repartition(*keys_).sortWithinPartitions(*keys_).mapInArrow(score_runs, "cid bigint, near array<struct<loss: double, other: bigint>>")
     best = scored.where(F.size("near") > 0).groupBy("cid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
     first = Window.partitionBy("class_id").orderBy("id")
