@@ -58,6 +58,18 @@ def test_damage_and_repair(spark):
     assert fixed["0"].text == SOUND and fixed["0"].n_damaged == 0 and fixed["3"].text == ""
 
 
+def test_numbers_alone_on_a_line():
+    wrapped = "A long baseline between the two samples indexed every\nxxiii\ntrajectory. The tensor of the batch is transient enough\nto hide it.\n71"
+    assert [r == "furniture" for r in pages.classify(wrapped)] == [False, True, False, False, True]
+    column = "name\n12\n13\n14\nvalue"
+    assert "furniture" not in pages.classify(column)
+
+
+def test_letters_read_as_one():
+    assert pages.misreadings("kemel", "kernel") == 1 and pages.misreadings("partide", "particle") == 1
+    assert pages.misreadings("kemel", "kennel") is None
+
+
 def test_no_pages(spark):
     rows = _rows(spark, "x").where("false")
     damage, _ = pages.find_damage(rows)
