@@ -70,6 +70,20 @@ def test_letters_read_as_one():
     assert pages.misreadings("kemel", "kennel") is None
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="cdlmrnehi", min_size=1, max_size=6), min_size=1, max_size=20), st.text(alphabet="cdlmrnehi13", min_size=1, max_size=7))
+def test_true_forms_are_all_words_that_misreading_explains(vocabulary, seen):
+    want = {(w, n) for w in vocabulary if (n := pages.misreadings(seen, w)) is not None}
+    assert set(pages.true_forms(pages.trie_of(vocabulary), seen)) == want
+
+
+def test_words_misread_at_several_places(spark):
+    sound = "\n".join(f"The membrane was connected to the turnclorn sample, which enhanced section {i}." for i in range(40))
+    damage, _ = pages.find_damage(_rows(spark, sound, "The rnernbrane was coririectecl\nto the tumdom sample\nand to m3rnbran3\nand rnembrane."))
+    got = {(r.line_no, r.word): r.fixed for r in damage.where("kind = 'misread'").collect()}
+    assert got == {(1, "rnernbrane"): ["membrane"], (1, "coririectecl"): ["connected"], (2, "tumdom"): ["turnclorn"], (3, "m3rnbran3"): ["membrane"], (4, "rnembrane"): ["membrane"]}
+
+
 def test_no_pages(spark):
     rows = _rows(spark, "x").where("false")
     damage, _ = pages.find_damage(rows)
