@@ -156,7 +156,7 @@ def near_duplicates(
     ``at`` and ``deleted`` name the version columns of an append log: only current rows that are not deleted
     count. Null ids, and texts that are null or without a word, belong to no class. Equal rows count once.
 
-    Returns members ``(id, lo, hi, class_id, class_size)``, class_id being the least id, and pairs
+    Returns members ``(id, class_id, class_size, same)``, class_id being the least id and same a hash of the text, and pairs
     ``(class_a, class_b, similarity)`` with class_a < class_b.
     """
     src = df.where(F.col(id_col).isNotNull())
@@ -165,13 +165,14 @@ def near_duplicates(
         F.col(text_col).alias("text"),
         (F.col(at) if at else F.lit(0)).alias("at"),
         (F.col(deleted).isNotNull() if deleted else F.lit(False)).alias("gone"),
+        F.xxhash64(text_col).alias("same"),
     )
-    sk = materialize(sketch_texts(spread(src), "id", "text", ["at", "gone"], bands, rows, bits), "sketches")
+    sk = materialize(sketch_texts(spread(src), "id", "text", ["at", "gone", "same"], bands, rows, bits), "sketches")
     # a current row without a word has no sketch, so the versions are taken from the table itself
     states = src.groupBy("id").agg(F.max("at").alias("now"), F.max(F.when(F.col("gone"), F.col("at"))).alias("gone_at"))
     alive = states.where("gone_at is null or gone_at < now").select(F.col("id").alias("live_id"), "now")
     members = (
-        sk.select("id", "at", "lo", "hi")
+        sk.select("id", "at", "lo", "hi", "same")
         .join(alive, (F.col("id") == F.col("live_id")) & (F.col("at") == F.col("now")), "left_semi")
         .dropDuplicates(["id"])
     )
@@ -220,20 +221,29 @@ def near_duplicates(
         return {"class_a": [b["class_a"][k] for k in ok], "class_b": [b["class_b"][k] for k in ok], "similarity": [sims[k] for k in ok]}
 
     pairs = materialize(map_columns(both.select("class_a", "text_a", "class_b", "text_b"), compare, "class_a string, class_b string, similarity double"), "pairs")
-    return members.join(classes, ["lo", "hi"]).select("id", "class_id", "class_size"), pairs
-
-
-def member_pairs(members: DataFrame, pairs: DataFrame, expand: int = 64) -> DataFrame:
-    """Pairs ``(id_a, id_b)`` of members, id_a < id_b. Classes of up to ``expand`` members are written out in full; of a
-    larger class each member is paired with the class's least id, within the class and across, so the result
-    stays linear in the members and no link between different texts is lost."""
-    m = members.select("id", "class_id", "class_size")
-    speaks = (F.col("class_size") <= expand) | (F.col("id") == F.col("class_id"))
-    every = m.where("class_size > 1").select(F.col("id").alias("x"), "class_id")
-    within = every.join(m.where(speaks).where("class_size > 1").select(F.col("id").alias("y"), "class_id"), "class_id").where("x <> y").select("x", "y")
-    a = pairs.select("class_a", "class_b").join(m.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"), speaks.alias("sx")), "class_a")
-    across = a.join(m.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"), speaks.alias("sy")), "class_b").where("sx or sy").select("x", "y")
-    return within.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return materialize(members.join(classes, ["lo", "hi"]).select("id", "class_id", "class_size", "same"), "classes"), pairs
+
+
+def member_pairs(members: DataFrame, pairs: DataFrame, expand: int | None = None, hot: int = 2000) -> DataFrame:
+    """All pairs ``(id_a, id_b)`` of members, id_a < id_b, of one class or of two classes in ``pairs``. Their number grows with the square of a class.
+
+    With ``expand``, copies of one and the same text in a class of more members are paired only with the least id among them; different texts are always
+    paired in full. Members of a class are dealt to blocks of ``hot``, and each two blocks joined on their own, so no task holds a large class."""
+    big = members.where((F.col("class_size") > hot) & (F.col("id") == F.col("class_id"))).select("class_id", F.ceil(F.col("class_size") / hot).cast("int").alias("blocks"))
+    own = members.select("id", "class_id", "class_size", "same", F.pmod(F.xxhash64("id"), F.ceil(F.col("class_size") / hot)).cast("int").alias("block"))
+    if expand is not None:
+        own = own.withColumn("first", F.min("id").over(Window.partitionBy("class_id", "same")))
+    alone = members.where("class_size > 1 and id = class_id").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
+    cells = pairs.select("class_a", "class_b").unionByName(alone)
+    for s in "ab":
+        cells = cells.join(big.select(F.col("class_id").alias(f"class_{s}"), "blocks"), f"class_{s}", "left")
+        cells = cells.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    keys = ["class_a", "block_a", "class_b", "block_b"]
+    x, y = (cells.join(own.toDF(*[f"{c}_{s}" if c in ("class_id", "block") else f"{s}_{c}" for c in own.columns]).withColumnRenamed(f"class_id_{s}", f"class_{s}"), [f"class_{s}", f"block_{s}"]) for s in "ab")
+    both = x.join(y, keys).where("class_a <> class_b or a_id < b_id")
+    if expand is not None:
+        both = both.where((F.col("class_a") != F.col("class_b")) | (F.col("a_same") != F.col("b_same")) | (F.col("a_class_size") <= expand) | (F.col("a_id") == F.col("a_first")))
+    return both.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
 
 
 def duplicate_groups(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -100,6 +100,22 @@ def test_large_classes_stay_linear(spark):
     assert len(got) == 299 + 900 + 3
 
 
+def test_large_classes_lose_no_pair_of_texts(spark):
+    rng = random.Random(8)
+    w = _chunk(rng).split()
+    texts = {f"c{i:02d}": text for i, text in enumerate([" ".join(w)] * 50 + [" ".join(rng.sample(w, len(w))) for _ in range(30)])}
+    texts |= {f"d{i}": text + " tail" for i, text in enumerate(list(texts.values())[45:80])}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    members, pairs = neardup.near_duplicates(df, "id", "text", 0.7)
+    want = _brute(texts, 0.7)
+    assert len(want) == 115 * 114 // 2
+    for hot in (2000, 9):
+        got = [tuple(r) for r in neardup.member_pairs(members, pairs, hot=hot).collect()]
+        assert len(got) == len(want) and set(got) == want
+    got = {tuple(r) for r in neardup.member_pairs(members, pairs, expand=10).collect()}
+    assert got == {(a, b) for a, b in want if texts[a] != texts[b] or a == "c00" or a == "d0"}
+
+
 def test_hot_bands_in_blocks_lose_nothing(spark):
     rng = random.Random(6)
     base = _chunk(rng).split()
