@@ -93,21 +93,22 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def windows(text: str) -> list[list[str]]:
-    """Token lists of the sentences and lines of ``text``. Unfilled slots become one token each, mark-up, identifiers and the image
-    markers of the project are taken out, and a heading in the first line is left out (of a text on one line, ``#`` and four words). A code
-    block is one window."""
+def windows(text: str) -> tuple[list[str] | None, bool, list[list[str]]]:
+    """The heading in the first line, whether the text is one line that begins with a heading, and token lists of its sentences and lines.
+    Unfilled slots become one token each, mark-up, identifiers and the image markers of the project are taken out. Where the heading of a
+    text on one line ends is not known, so it is part of the first sentence. A code block is one window."""
     text = _MARKER.sub(" ", text)
     code = [re.findall(r"\w+", m.lower()) for m in _FENCE.findall(text)]
     body = _FENCE.sub("\n", text)
     body = SLOTS.sub(f" {SLOT} ", body)
     body = _ID.sub(" ", _TAG.sub("\n", body)).strip()
-    if body.startswith("#"):
-        head, _, rest = body.partition("\n")
-        body = rest or " ".join(head.split()[5:])  # a text on one line: its title has no end of its own
+    head, titled = None, body.startswith("#")
+    if titled and "\n" in body:
+        first, _, body = body.partition("\n")
+        head, titled = tokens(first), False
     if SLOT in body:
         body = _LABEL.sub("\n", body)
-    return [t for t in (tokens(w) for w in _WINDOW.split(body)) if t] + [c for c in code if c]
+    return head, titled, [t for t in (tokens(w) for w in _WINDOW.split(body)) if t] + [c for c in code if c]
 
 
 class Exemplars:
@@ -126,6 +127,10 @@ class Exemplars:
         self.idf = {t: min(unseen, math.log(1 + n_docs / (1 + df.get(t, 0)))) for t in post}
         self.idf[SLOT] = unseen
         forms = [tokens(re.sub(r"(?<!\w)_(?!\w)", SLOT, p)) for p in EXEMPLARS["template"]]
+        self.weight = [0.0] * len(self.labels)
+        for t, es in self.post.items():
+            for e in es:
+                self.weight[e] += self.idf[t]
         self.forms = sorted(((set(f) - {SLOT}, f.count(SLOT)) for f in forms if set(f) > {SLOT}), key=lambda f: -len(f[0]))
 
     def slots(self, window: list[str]) -> tuple[int, int] | None:
@@ -159,16 +164,56 @@ class Exemplars:
         return total, self.labels[e] if held[e] >= least * total else None
 
 
+    def span(self, window: list[str], containment: float) -> tuple[int, int, float, str] | None:
+        """The stretch ``(start, end, weight, label)`` of the window with the most weight of one exemplar over that of all else, of which the exemplar holds
+        at least ``containment``; it must hold half of the exemplar, or as much as two terms of no exemplar weigh, so common words alone are none."""
+        each = [self.idf.get(t, self.unseen) for t in window]
+        upto = [0.0]
+        for w in each:
+            upto.append(upto[-1] + w)
+        at: dict[int, list[int]] = defaultdict(list)
+        for i, t in enumerate(window):
+            for e in self.post.get(t, ()):
+                at[e].append(i)
+        cost = containment / (1 - containment)  # with it a stretch of no net weight is held by just ``containment``
+        found, most = None, 0.0
+        for e, places in at.items():
+            start, net, last = 0, 0.0, 0
+            for i in places:
+                net -= cost * (upto[i] - upto[last])
+                if net <= 0:
+                    start, net = i, 0.0
+                net, last = net + each[i], i + 1
+                if net > most:
+                    own = {t: self.idf[t] for t in window[start:last] if e in self.post.get(t, ())}
+                    if sum(own.values()) >= min(self.weight[e] / 2, 2 * self.unseen):
+                        found, most = (start, last, upto[last] - upto[start], self.labels[e]), net
+        return found
+
+    def spans(self, window: list[str], containment: float) -> list[tuple[int, int, float, str]]:
+        """Stretches of exemplars in the window that do not overlap, in their order, the weightiest taken first."""
+        out, todo = [], [(0, len(window))]
+        while todo:
+            a, b = todo.pop()
+            if a < b and (found := self.span(window[a:b], containment)):
+                start, end, weight, label = found
+                out.append((a + start, a + end, weight, label))
+                todo += [(a, a + start), (a + end, b)]
+        return sorted(out)
+
+
 def _vocabulary() -> set[str]:
     return {t for ps in EXEMPLARS.values() for p in ps for t in tokens(p)}
 
 
-def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float = 0.5, unseen: float = 4.6) -> DataFrame:
+def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float = 0.5, unseen: float = 4.6, title: int = 12) -> DataFrame:
     """``(id, coverage, kind, n_windows)`` for every row with a text that holds a token.
 
     IDF of the exemplars' terms is counted over all rows; a term of no exemplar weighs ``unseen``. A window belongs to the exemplar that
     holds the largest share of its weight if that share reaches ``containment``; in a text with unfilled slots, a line in the form of a
-    template counts by its unfilled slots against its filled ones. ``coverage`` is the weight of
+    template counts by its unfilled slots against its filled ones. A heading on a line of its own counts only if it belongs to an exemplar
+    itself. A text on one line that begins with a heading is searched for stretches of exemplars inside its sentences, as its heading has no end of its own; up to
+    ``title`` words before the first stretch together weigh as one term of no exemplar, those beyond them in full. ``coverage`` is the weight of
     windows of residue over that of all windows but menus (``frame``); ``kind`` is the label with the most weight, null without residue.
     Rows are scored one by one and never shuffled; only the counts of the exemplars' own terms, a fixed list, come to the driver.
     Null and blank texts give no row; repeated rows give one row each.
@@ -193,14 +238,24 @@ def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float
         out: dict[str, list] = {k: [] for k in ("id", "coverage", "kind", "n_windows")}
         for i, t in zip(b["id"], b["text"]):
             by: dict[str | None, float] = defaultdict(float)
-            ws = windows(t)
+            head, titled, ws = windows(t)
+            if head and index.best(head, containment)[1] not in (None, "frame"):
+                ws.insert(0, head)
             form = any(SLOT in w for w in ws)
-            for w in ws:
+            for k, w in enumerate(ws):
                 if form and (found := index.slots(w)):
                     by["template"] += unseen * found[0]
                     by[None] += unseen * found[1]
                     continue
                 weight, label = index.best(w, containment)
+                if label is None and titled:
+                    inside = index.spans(w, containment)
+                    for _, _, part, kind in inside:
+                        by[kind] += part
+                        weight -= part
+                    if k == 0:
+                        lead = [index.idf.get(x, unseen) for x in w[: inside[0][0] if inside else len(w)]][:title]
+                        weight -= max(0.0, sum(lead) - unseen)
                 by[label] += weight
             by.pop("frame", None)
             content = by.pop(None, 0.0)

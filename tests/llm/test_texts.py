@@ -234,6 +234,26 @@ def test_residue_cases(spark):
     assert residue.residue_scores(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_residue_beside_headings(spark):
+    bad = {
+        1: "# 线性流程中的Texol语料 您没有访问权限 请返回首页。 事件编号 b7e2829c",
+        2: "# 404 Not Found",
+        3: "# 403 Forbidden\n\nHome | Search | Help",
+        4: "# Threshold two-dimensional Griomite replicate An unexpected error occurred while rendering the article Your session has expired, sign in again If the problem persists, tell the library desk",
+        5: "# Phase stable Muarkane film 404 Not Found",
+        6: "# Defect charged Bremane score Home | Search | Help Access denied",
+    }
+    sound = {
+        11: "# Forbidden transitions of the film\n\nThe viscous regime of the colloid stays stable under shear.",
+        12: "# A film under shear The crawler found that a session has expired for two of the samples, and the viscous regime of the colloid stayed stable under shear for all the others, as the membrane did.",
+        13: "# Title of a lone film",
+        14: "# 404 Not Found\n\nThe film was kept under shear for an hour. The membrane was compared with another sample of the colloid.",
+    }
+    df = spark.createDataFrame(list((bad | sound).items()), "doc_id long, text string")
+    got = {r.id: r.coverage for r in residue.residue_scores(df, "doc_id", "text").collect()}
+    assert {i for i, c in got.items() if c >= 0.4} == set(bad) and set(got) == set(bad | sound), got
+
+
 def test_exemplars_find_themselves():
     index = residue.Exemplars(1000, {}, 4.6)
     for label, passages in residue.EXEMPLARS.items():
