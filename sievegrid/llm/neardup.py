@@ -120,16 +120,23 @@ def sketch_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str], ban
     return map_columns(df.select(F.col(id_col).cast("string").alias("id"), *keep, F.col(text_col).alias("__text")), run, schema)
 
 
-def _self_pairs(sized: DataFrame, hot: int) -> DataFrame:
-    """Pairs ``lo_a < lo_b`` within each key of ``(key, lo, n)``. Keys of up to ``hot`` members join as they lie;
-    in larger ones one side is dealt to blocks of ``hot`` members and the other repeated per block."""
-    cold = sized.where((F.col("n") > 1) & (F.col("n") <= hot))
+def _shared_keys(laid: DataFrame, hot: int) -> DataFrame:
+    """Pairs ``lo_a < lo_b`` that share a key of ``laid(key, lo)``, whose rows are distinct.
+
+    Keys are counted once, combined map-side, and only those with company are written down; a key of two members already
+    holds its pair in that row. The members of larger keys are looked up again; up to ``hot`` of them join as they lie, and of more one
+    side is dealt to blocks of ``hot`` members and the other repeated per block."""
+    g = laid.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("lo_a"), F.max("lo").alias("lo_b")).where("n > 1")
+    shared = materialize(g, "shared")
+    crowd = broadcast_if_small(materialize(shared.where("n > 2").select("key", "n"), "crowd"), 40)
+    crowded = materialize(laid.join(crowd, "key"), "crowded")
+    cold, many = crowded.where(F.col("n") <= hot), crowded.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / hot).cast("int"))
     a, b = cold.select("key", F.col("lo").alias("lo_a")), cold.select("key", F.col("lo").alias("lo_b"))
     few = a.join(b, "key").where("lo_a < lo_b").select("lo_a", "lo_b")
-    many = sized.where(F.col("n") > hot).withColumn("blocks", F.ceil(F.col("n") / hot).cast("int"))
     a = many.select("key", F.col("lo").alias("lo_a"), F.pmod(F.xxhash64("lo"), "blocks").cast("int").alias("block"))
     b = many.select("key", F.col("lo").alias("lo_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return few.unionByName(a.join(b, ["key", "block"]).where("lo_a < lo_b").select("lo_a", "lo_b"))
+    far = a.join(b, ["key", "block"]).where("lo_a < lo_b").select("lo_a", "lo_b")
+    return shared.where("n = 2").select("lo_a", "lo_b").unionByName(few).unionByName(far).distinct()
 
 
 def near_duplicates(
@@ -179,14 +186,15 @@ def near_duplicates(
     members = materialize(members, "members")
     classes = members.groupBy("lo", "hi").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
 
+    # one sketch a class, and none of a class whose texts are all dead or outdated
+    alive_lo = materialize(classes.select("lo").distinct(), "alive")
+    one = materialize(sk.where("bands is not null").select("lo", "bands", "odd").join(broadcast_if_small(alive_lo, 32), "lo", "left_semi").dropDuplicates(["lo"]), "one")
     key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    laid = sk.select("lo", F.posexplode("bands")).select(key.alias("key"), "lo").repartition("key").dropDuplicates(["key", "lo"])
-    sized = laid.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    candidates = _self_pairs(sized, hot).distinct()
+    candidates = _shared_keys(one.select("lo", F.posexplode("bands")).select(key.alias("key"), "lo"), hot)
 
     samples = bands * rows
     far = bits / 2 * (1 - math.exp(-4 * samples * (1 - max(threshold - slack, 0.0)) / bits))  # of the differing bits
-    odd = sk.where("odd is not null").groupBy("lo").agg(F.first("odd").alias("odd"))
+    odd = one.select("lo", "odd")
     apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = (
         candidates.join(odd.select(F.col("lo").alias("lo_a"), F.col("odd").alias("odd_a")), "lo_a")
