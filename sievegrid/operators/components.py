@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; the component is its least node.
 
     Each round hangs the neighbours of a node on its least neighbour, first the larger ones, then the smaller ones, and
     the edge set shrinks to stars in a number of rounds that grows with the logarithm of the longest path. Rounds
-    are written to the shared folder. Loops and null ends are left out.
+    are written to the shared folder and go on until one changes nothing. Loops and null ends are left out.
     """
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = materialize(e, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +42,10 @@ def utc_text(col: str):
     return F.regexp_replace(F.trim(F.col(col)), r"(Z|[+-]00(:?00)?)$", "").try_cast("timestamp_ntz")
 
 
-def orphan_references(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """References whose target is not at hand, one row per record and value.
-
-    ``kind`` is ``missing`` (no row), else ``deleted`` (its current row is a deletion), else ``late``
-    (first loaded after the earliest mention). ``period`` is the month of the earliest mention, null
-    where no mention has a time; such a reference is never late. Mentions are reduced map-side to one
-    row per record and value before the join, and the target side has one row per key, so a
-    target that a third of all records name skews one side only, which adaptive execution splits.
-    """
+def _direct(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """The first round of the cascade: references whose target is not at hand. Mentions are reduced map-side to one row per record and value before
+    the join, and the target side has one row per key, so a target that a third of all records name skews one side only, which
+    adaptive execution splits."""
     once = refs.groupBy("ref_table", "target_table", "target_scope", "record_key", "ref_value").agg(F.min("ref_at").alias("ref_at"))
     t = known.withColumnsRenamed({"target_table": "t_table", "target_scope": "t_scope"})
     joined = once.join(t, (F.col("target_table") == F.col("t_table")) & (F.col("target_scope") == F.col("t_scope")) & (F.col("ref_value") == F.col("target_key")), "left")
@@ -64,24 +57,37 @@ def orphan_references(refs: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("ref_table", F.date_format("ref_at", "yyyy-MM").alias("period"), "record_key", "ref_value", kind.alias("kind"), "target_table", "target_scope").where("kind is not null")
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Counts of orphan references per table, month and kind."""
-    return orphans.groupBy("ref_table", "period", "kind").agg(F.count("*").alias("n_refs"), F.countDistinct("record_key").alias("n_records"))
-
+def orphan_cascade(refs: DataFrame, known: DataFrame, edges: DataFrame | None = None, gone: tuple[str, ...] = ("missing", "deleted")) -> tuple[DataFrame, DataFrame | None]:
+    """References whose target is not at hand, and everything that hangs on the records that hold them.
 
-def orphan_cascade(orphans: DataFrame, edges: Mapping[str, DataFrame] | DataFrame, max_levels: int = 64) -> DataFrame:
-    """Everything that hangs on an orphaned record: ``(record_table, record_key, level, kind)``.
+    Round 0 gives the direct orphans ``(ref_table, period, record_key, ref_value, kind, target_table, target_scope)``, one row per record and
+    value. ``kind`` is ``missing`` (the target has no row), else ``deleted`` (its current row is a deletion), else ``late``
+    (first loaded after the earliest mention). ``period`` is the month of the earliest mention, null where no mention has a time;
+    such a reference is never late.
 
-    ``orphans`` has ``(record_table, record_key)``: level 0, ``direct``. ``edges`` has
-    ``(record_table, record_key, parent_table, parent_key)``. Each round joins the edges to the last
-    round's new records and leaves out those already reached, until a round adds none: a fixpoint, which
-    cycles cannot keep from ending. A record reached twice keeps its least level. Each round is
-    written to the shared folder, so the plan stays short and a lost executor costs one round.
+    With ``edges(record_table, record_key, parent_table, parent_key)``, the foreign keys of all tables, records with a direct orphan of a kind in
+    ``gone`` start the cascade: each round semi-joins the edges with the records the round before reached, leaves out those already
+    reached, and the rounds go on until one adds none, however many that takes; cycles cannot keep it from ending. Returns also
+    ``(record_table, record_key, level, kind)``, kind being ``direct`` at level 0 and ``inherited`` above; a record reached
+    twice keeps its least level. Without ``edges`` round 0 is all there is, and nothing is computed but what it reports.
+    Each round is written to the shared folder; every 16 rounds all that was reached is written as one table, so the plan
+    stays short and a lost executor costs one round. Null keys take no part.
     """
+    direct = _direct(refs, known)
+    if edges is None:
+        return direct, None
+    direct = materialize(direct, "direct")
     e = edges.where(F.col("record_key").isNotNull() & F.col("parent_key").isNotNull()).distinct()
-    reached = materialize(orphans.select("record_table", "record_key").distinct().withColumn("level", F.lit(0)), "orphans")
+    first = direct.where(F.col("kind").isin(list(gone))).select(F.col("ref_table").alias("record_table"), "record_key").distinct()
+    return direct, inherited(first, e)
+
+
+def inherited(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """The fixpoint of ``orphan_cascade`` from the records ``first(record_table, record_key)``."""
+    e = edges.where(F.col("record_key").isNotNull() & F.col("parent_key").isNotNull())
+    reached = materialize(first.select("record_table", "record_key").distinct().withColumn("level", F.lit(0)), "orphans")
     frontier, level = reached, 0
-    while level < max_levels:
+    while True:
         level += 1
         up = frontier.select(F.col("record_table").alias("parent_table"), F.col("record_key").alias("parent_key"))
         new = (
@@ -90,6 +96,12 @@ def orphan_cascade(orphans: DataFrame, edges: Mapping[str, DataFrame] | DataFram
         )
         frontier = materialize(new, "orphans")
         if frontier.isEmpty():
-            break
+            return reached.withColumn("kind", F.when(F.col("level") == 0, "direct").otherwise("inherited"))
         reached = reached.unionByName(frontier)
-    return reached.withColumn("kind", F.when(F.col("level") == 0, "direct").otherwise("inherited"))
+        if level % 16 == 0:
+            reached = materialize(reached, "orphans")
+
+
+def orphan_report(orphans: DataFrame) -> DataFrame:
+    """Counts of orphan references per table, month and kind."""
+    return orphans.groupBy("ref_table", "period", "kind").agg(F.count("*").alias("n_refs"), F.countDistinct("record_key").alias("n_records"))

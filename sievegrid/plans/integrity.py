@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.references import orphan_cascade, orphan_references, orphan_report, references, targets, utc_text
+from ..operators.references import inherited, orphan_cascade, orphan_report, references, targets, utc_text
 from ..sources.tables import table
 
 
@@ -25,10 +25,11 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(targets(table(spark, d, "chunks"), "chunks", "chunk_id"))
         .unionByName(targets(table(spark, d, "documents"), "documents", "document_id"))
     )
-    return orphan_references(refs, known)
+    return orphan_cascade(refs, known)[0]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Level 0 of the cascade: the columns and cases asked for are the direct orphans only, so it is not run further here."""
     return _orphans(spark, d).select("ref_table", "period", "record_key", "ref_value", "kind").distinct()
 
 
@@ -57,8 +58,8 @@ def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(references(chunks, "chunks", "documents", F.col("chunk_id"), F.col("source_ref"), F.col("loaded_at")))
     )
     docs = targets(table(spark, d, "documents"), "documents", "document_id")
-    direct = _orphans(spark, d).unionByName(orphan_references(refs, docs)).where("kind <> 'late'").select(F.col("ref_table").alias("record_table"), "record_key")
-    return orphan_cascade(direct, edges)
+    hanging = _orphans(spark, d).unionByName(orphan_cascade(refs, docs)[0]).where("kind <> 'late'")
+    return inherited(hanging.select(F.col("ref_table").alias("record_table"), "record_key"), edges.distinct())
 
 
 _TARGETS = """
@@ -106,7 +107,7 @@ direct as (
 walk as (
   select record_table, record_key, 0 as level from direct
   union
-  select e.record_table, e.record_key, w.level + 1 from walk w join e on e.parent_table = w.record_table and e.parent_key = w.record_key where w.level < 8
+  select e.record_table, e.record_key, w.level + 1 from walk w join e on e.parent_table = w.record_table and e.parent_key = w.record_key
 )
 select record_table, record_key, min(level)::int as level, case when min(level) = 0 then 'direct' else 'inherited' end kind from walk group by 1, 2""",
 }

@@ -197,15 +197,33 @@ def test_orphans_by_kind(spark):
     known = spark.createDataFrame([("x", ts(5), None), ("gone", ts(1), ts(2)), ("back", ts(1), ts(2)), ("back", ts(3), None)], "id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
     refs = spark.createDataFrame([("r1", "x", ts(6)), ("r1", "x", ts(4)), ("r2", "gone", ts(9)), ("r3", "back", ts(9)), ("r4", "none", None), ("r5", "", ts(1)), ("r6", None, ts(1)), ("r7", "x", ts(7))], "r string, ref string, at timestamp_ntz")
     m = references.references(refs, "refs", "t", F.col("r"), F.col("ref"), F.col("at"))
-    got = rows(references.orphan_references(m, references.targets(known, "t", "id")).select("record_key", "kind", "period"))
+    got = rows(references.orphan_cascade(m, references.targets(known, "t", "id"))[0].select("record_key", "kind", "period"))
     assert got == [("r1", "late", "2031-01"), ("r2", "deleted", "2031-01"), ("r4", "missing", None)]
-    assert references.orphan_references(m.where("false"), references.targets(known, "t", "id")).count() == 0
+    assert references.orphan_cascade(m.where("false"), references.targets(known, "t", "id"))[0].count() == 0
 
 
 def test_cascade_reaches_a_fixpoint_in_cycles(spark):
     e = spark.createDataFrame([("t", "b", "t", "a"), ("t", "c", "t", "b"), ("t", "a", "t", "c"), ("t", "z", "t", "y"), ("t", None, "t", "a")], "record_table string, record_key string, parent_table string, parent_key string")
     o = spark.createDataFrame([("t", "a"), ("t", "a")], "record_table string, record_key string")
-    assert rows(references.orphan_cascade(o, e).select("record_key", "level", "kind")) == [("a", 0, "direct"), ("b", 1, "inherited"), ("c", 2, "inherited")]
+    assert rows(references.inherited(o, e).select("record_key", "level", "kind")) == [("a", 0, "direct"), ("b", 1, "inherited"), ("c", 2, "inherited")]
+
+
+def test_cascade_from_references_to_the_end_of_a_long_chain(spark):
+    known = spark.createDataFrame([("x", ts(5), None), ("gone", ts(1), ts(2))], "id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
+    refs = spark.createDataFrame([("c0", "gone", ts(9)), ("late", "x", ts(1)), ("z", "x", ts(9))], "r string, ref string, at timestamp_ntz")
+    n = 70
+    e = spark.createDataFrame([("t", f"c{i + 1}", "t", f"c{i}") for i in range(n)] + [("t", "under late", "t", "late")], "record_table string, record_key string, parent_table string, parent_key string")
+    m = references.references(refs, "t", "k", F.col("r"), F.col("ref"), F.col("at"))
+    direct, all_ = references.orphan_cascade(m, references.targets(known, "k", "id"), e.coalesce(1))
+    assert {(r.record_key, r.kind) for r in direct.collect()} == {("c0", "deleted"), ("late", "late")}
+    assert {r.record_key: r.level for r in all_.collect()} == {f"c{i}": i for i in range(n + 1)}
+
+
+def test_components_of_a_long_path(spark):
+    n = 10000
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = components.connected_components(e)
+    assert got.count() == n + 1 and got.where("component <> 0").count() == 0
 
 
 def test_utc_spellings(spark):
