@@ -44,12 +44,12 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.nearest_vectors(table(spark, d, "chroma_store"), "id", "vector", k=5, dim=64, at="loaded_at")
+    return vectors.nearest_vectors(table(spark, d, "chroma_store"), "id", "vector", k=5, dim=64, tables=10, functions=1, probes=2, at="loaded_at")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Only neighbours of a cosine of 0.9 or more are asked for, which buckets of two functions bring together."""
-    near = vectors.nearest_vectors(table(spark, d, "chroma_store"), "id", "vector", k=5, dim=64, functions=2, probes=2, at="loaded_at").where("cosine >= 0.9")
+    near = vectors.nearest_vectors(table(spark, d, "chroma_store"), "id", "vector", k=5, dim=64, tables=16, functions=2, probes=2, at="loaded_at", least=0.9)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 

@@ -162,13 +162,36 @@ def test_recall_against_brute_force_whatever_the_tiles(spark):
     x = _vectors(600)
     df = spark.createDataFrame([(f"v{i:04d}", [float(f) for f in v]) for i, v in enumerate(x)], "id string, vec array<float>").repartition(3)
     truth = _truth(x, 5)
-    a = vectors.nearest_vectors(df, "id", "vec", 5, 16, tables=10).collect()
-    b = vectors.nearest_vectors(df, "id", "vec", 5, 16, tables=10, tile=20).collect()
+    a = vectors.nearest_vectors(df, "id", "vec", 5, 16, tables=10, probes=1).collect()
+    b = vectors.nearest_vectors(df, "id", "vec", 5, 16, tables=10, probes=1, tile=20).collect()
     assert _recall(a, truth) >= 0.9 and {(r.id, r.rank, r.other) for r in a} == {(r.id, r.rank, r.other) for r in b}
     c = vectors.nearest_vectors(df, "id", "vec", 5, 16, tables=10, functions=2, probes=12).collect()
     assert _recall(c, truth) >= 0.9
 
 
+def test_one_dense_cluster_with_probes(spark):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=16) + 0.15 * rng.normal(size=(500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04d}", [float(f) for f in v]) for i, v in enumerate(x)], "id string, vec array<float>").repartition(3)
+    got = {}
+    for tile in (16384, 30):  # nearly all own and ask the same buckets, so with small tiles every one of them is split
+        got[tile] = {(r.id, r.rank, r.other) for r in vectors.nearest_vectors(df, "id", "vec", 5, 16, tables=6, functions=2, probes=3, tile=tile).collect()}
+    assert got[16384] == got[30]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
+    assert len(want & {(a, b) for a, _, b in got[30]}) >= 0.95 * len(want)
+
+
+def test_least_cosine(spark):
+    x = _vectors(300)
+    df = spark.createDataFrame([(f"v{i:04d}", [float(f) for f in v]) for i, v in enumerate(x)], "id string, vec array<float>").repartition(2)
+    all_ = {(r.id, r.other): r.cosine for r in vectors.nearest_vectors(df, "id", "vec", 5, 16).collect()}
+    near = {(r.id, r.other): r.cosine for r in vectors.nearest_vectors(df, "id", "vec", 5, 16, least=0.9).collect()}
+    assert near == {k: c for k, c in all_.items() if c >= 0.9} and 0 < len(near) < len(all_)
+
+
 def test_copies_versions_and_unusable_vectors(spark):
     t = [dt.datetime(2031, 1, d) for d in (1, 2)]
     one, two = [1.0, 0.0, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0]
