@@ -61,6 +61,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_scores(table(spark, d, "documents"), "doc_id", "text").where("coverage >= 0.4").select(F.col("id").alias("doc_id")).distinct()
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay: all rows but those of p8_found, blank ones too."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n_chars"))
+    return docs.join(p8_found(spark, d), "doc_id", "left_anti")
+
+
 def _page_rows(spark: SparkSession, d: str) -> DataFrame:
     return pages.records({"documents": (table(spark, d, "documents"), "doc_id", "text"), "noisy_chunks": (table(spark, d, "noisy_chunks"), "noise_id", "input")})
 
@@ -101,7 +107,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_kept": p8_kept}
 
 SQL = {
     "p1_found": """

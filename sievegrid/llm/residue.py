@@ -41,7 +41,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "this page could not be loaded", "too many requests from your network", "the document you requested does not exist or was moved", "error: upstream returned no content",
         "an unexpected error occurred while rendering the article", "request timed out while contacting the repository", "the full text is not available to your institution", "your session has expired, sign in again",
         "please try again in a few minutes", "if the problem persists, tell the library desk", "go back to the start page or try the search", "return to the previous page", "incident", "reference no.",
-        "at node render line", "error status code message request trace", "page not found", "the page you are looking for does not exist", "bad request", "gateway timeout", "connection reset",
+        "at node render line", "error status code message request trace", "error code 404 reason", "status code 404 detail message", "page not found", "the page you are looking for does not exist", "bad request", "gateway timeout", "connection reset",
         "404 seite nicht gefunden", "zugriff verweigert", "interner serverfehler", "ihre sitzung ist abgelaufen", "die gesuchte seite existiert nicht mehr", "bitte versuchen sie es später erneut", "zurück zur startseite", "vorgang",
         "der dienst ist vorübergehend nicht verfügbar", "beim laden ist ein fehler aufgetreten",
         "erreur 404 : page introuvable", "accès refusé", "votre session a expiré", "une erreur est survenue lors du chargement", "service momentanément indisponible", "veuillez réessayer plus tard", "retour à l'accueil",
@@ -111,35 +111,48 @@ def windows(text: str) -> tuple[list[str] | None, bool, list[list[str]]]:
     return head, titled, [t for t in (tokens(w) for w in _WINDOW.split(body)) if t] + [c for c in code if c]
 
 
+BUILT_IN = [(label, p) for label, passages in EXEMPLARS.items() for p in passages]
+
+
+def _form(passage: str) -> list[str]:
+    return tokens(re.sub(r"(?<!\w)_(?!\w)", SLOT, passage))
+
+
 class Exemplars:
-    """Inverted index of the exemplars: term -> exemplars, with the IDF of every term."""
+    """Inverted index of labelled exemplars: term -> exemplars, with the IDF of every term."""
 
-    def __init__(self, n_docs: int, df: dict[str, int], unseen: float) -> None:
+    def __init__(self, n_docs: int, df: dict[str, int], unseen: float, passages: list[tuple[str, str]] = BUILT_IN) -> None:
         self.unseen = unseen
         self.labels: list[str] = []
+        self.empty: list[int] = []
         post: dict[str, set[int]] = defaultdict(set)
-        for label, passages in EXEMPLARS.items():
-            for p in passages:
-                for t in tokens(re.sub(r"(?<!\w)_(?!\w)", SLOT, p)):
-                    post[t].add(len(self.labels))
-                self.labels.append(label)
+        for label, p in passages:
+            ts = _form(p)
+            for t in ts:
+                post[t].add(len(self.labels))
+            self.labels.append(label)
+            self.empty.append(ts.count(SLOT))
         self.post = {t: sorted(x) for t, x in post.items()}
         self.idf = {t: min(unseen, math.log(1 + n_docs / (1 + df.get(t, 0)))) for t in post}
         self.idf[SLOT] = unseen
-        forms = [tokens(re.sub(r"(?<!\w)_(?!\w)", SLOT, p)) for p in EXEMPLARS["template"]]
-        self.weight = [0.0] * len(self.labels)
+        self.weight, self.own = [0.0] * len(self.labels), [0.0] * len(self.labels)
         for t, es in self.post.items():
             for e in es:
                 self.weight[e] += self.idf[t]
-        self.forms = sorted(((set(f) - {SLOT}, f.count(SLOT)) for f in forms if set(f) > {SLOT}), key=lambda f: -len(f[0]))
+                self.own[e] += self.idf[t] * (t != SLOT)
 
-    def slots(self, window: list[str]) -> tuple[int, int] | None:
-        """Unfilled and filled slots of the longest template form whose own words are all in the window, if there is one."""
-        have, empty = set(window), window.count(SLOT)
-        for own, n in self.forms:
-            if own <= have:
-                return empty, max(0, n - empty)
-        return None
+    def slots(self, window: list[str], share: float) -> tuple[int, int] | None:
+        """Unfilled and filled slots of the exemplar with slots of whose own words the window holds the most weight, if it holds ``share`` of them."""
+        held: dict[int, float] = defaultdict(float)
+        for t in set(window) - {SLOT}:
+            for e in self.post.get(t, ()):
+                if self.empty[e]:
+                    held[e] += self.idf[t]
+        if not held:
+            return None
+        e = max(held, key=lambda i: (held[i] >= share * self.own[i], held[i], -i))
+        empty = window.count(SLOT)
+        return (empty, max(0, self.empty[e] - empty)) if held[e] >= share * self.own[e] else None
 
     def best(self, window: list[str], least: float) -> tuple[float, str | None]:
         """Weight of the window, and the label of the exemplar that holds the largest share of it, if that share reaches ``least``."""
@@ -202,25 +215,30 @@ class Exemplars:
         return sorted(out)
 
 
-def _vocabulary() -> set[str]:
-    return {t for ps in EXEMPLARS.values() for p in ps for t in tokens(p)}
-
-
-def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float = 0.5, unseen: float = 4.6, title: int = 12) -> DataFrame:
+def residue_scores(
+    df: DataFrame, id_col: str, text_col: str, containment: float = 0.5, unseen: float = 4.6, title: int = 12, exemplars: DataFrame | None = None, most_exemplars: int = 20000, form: float = 0.95
+) -> DataFrame:
     """``(id, coverage, kind, n_windows)`` for every row with a text that holds a token.
 
-    IDF of the exemplars' terms is counted over all rows; a term of no exemplar weighs ``unseen``. A window belongs to the exemplar that
-    holds the largest share of its weight if that share reaches ``containment``; in a text with unfilled slots, a line in the form of a
-    template counts by its unfilled slots against its filled ones. A heading on a line of its own counts only if it belongs to an exemplar
-    itself. A text on one line that begins with a heading is searched for stretches of exemplars inside its sentences, as its heading has no end of its own; up to
+    ``exemplars(label, passage)`` are the labelled passages, ``BUILT_IN`` without it; ``_`` stands for an unfilled slot, and the label ``frame`` marks menus. They are settings, no
+    data: more than ``most_exemplars`` are an error. IDF of the exemplars' terms is counted over all rows; a term of no exemplar weighs ``unseen``.
+    A window belongs to the exemplar that holds the largest share of its weight if that share reaches ``containment``. In a text with unfilled
+    slots, a line that holds the share ``form`` of the weight of a template's own words counts by its unfilled slots against its filled ones, whatever they are filled with.
+    A heading on a line of its own counts only if it belongs to an exemplar
+    itself. In a text on one line, what belongs to no exemplar as a whole is searched for stretches of exemplars, as its parts have no ends of their own; where it begins with a heading, up to
     ``title`` words before the first stretch together weigh as one term of no exemplar, those beyond them in full. ``coverage`` is the weight of
     windows of residue over that of all windows but menus (``frame``); ``kind`` is the label with the most weight, null without residue.
-    Rows are scored one by one and never shuffled; only the counts of the exemplars' own terms, a fixed list, come to the driver.
+    Rows are scored one by one and never shuffled; only the counts of the exemplars' own terms come to the driver.
     Null and blank texts give no row; repeated rows give one row each.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
     rows = spread(rows)
-    known = _vocabulary()
+    passages = BUILT_IN
+    if exemplars is not None:
+        passages = [(r.label, r.passage) for r in exemplars.where("label is not null and passage is not null").select("label", "passage").distinct().orderBy("label", "passage").limit(most_exemplars + 1).collect()]
+        if len(passages) > most_exemplars:
+            raise ValueError(f"more than {most_exemplars} exemplars")
+    known = {t for _, p in passages for t in tokens(p)}
 
     def count(b: dict[str, list]) -> dict[str, list]:
         n: dict[str, int] = defaultdict(int)
@@ -232,7 +250,7 @@ def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float
 
     counted = map_columns(rows.select("text"), count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     df_of = {r.term: r.n for r in counted.collect()}
-    index = Exemplars(df_of.pop("", 0), df_of, unseen)
+    index = Exemplars(df_of.pop("", 0), df_of, unseen, passages)
 
     def score(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("id", "coverage", "kind", "n_windows")}
@@ -241,19 +259,19 @@ def residue_scores(df: DataFrame, id_col: str, text_col: str, containment: float
             head, titled, ws = windows(t)
             if head and index.best(head, containment)[1] not in (None, "frame"):
                 ws.insert(0, head)
-            form = any(SLOT in w for w in ws)
+            slotted, flat = any(SLOT in w for w in ws), titled or "\n" not in t.strip()
             for k, w in enumerate(ws):
-                if form and (found := index.slots(w)):
+                if slotted and (found := index.slots(w, form)):
                     by["template"] += unseen * found[0]
                     by[None] += unseen * found[1]
                     continue
                 weight, label = index.best(w, containment)
-                if label is None and titled:
+                if label is None and flat:
                     inside = index.spans(w, containment)
                     for _, _, part, kind in inside:
                         by[kind] += part
                         weight -= part
-                    if k == 0:
+                    if k == 0 and titled:
                         lead = [index.idf.get(x, unseen) for x in w[: inside[0][0] if inside else len(w)]][:title]
                         weight -= max(0.0, sum(lead) - unseen)
                 by[label] += weight

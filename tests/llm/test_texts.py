@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -254,6 +255,23 @@ def test_residue_beside_headings(spark):
     assert {i for i, c in got.items() if c >= 0.4} == set(bad) and set(got) == set(bad | sound), got
 
 
+def test_residue_on_one_line_without_ends(spark):
+    bad = {1: "About > Search > Issues > Contact > Home Acceso denegado Volver al inicio Inténtelo de nuevo más tarde.", 2: "Home Search Help Access denied Go back to the start page or try the search"}
+    sound = {11: "The crawler logged 'Access denied' and 'Go back to the start page' for 941 addresses, which were left out, and the viscous regime of the colloid stayed stable under shear for all others."}
+    df = spark.createDataFrame(list((bad | sound).items()), "doc_id long, text string")
+    got = {r.id: r.coverage for r in residue.residue_scores(df, "doc_id", "text").collect()}
+    assert {i for i, c in got.items() if c >= 0.4} == set(bad), got
+
+
+def test_exemplars_of_a_table(spark):
+    df = spark.createDataFrame([(1, "Zorbl wuff grkl."), (2, "Access denied"), (3, "Field one: {{ value }}\nField two: {{ value }}"), (4, "Field one: blue paint\nField two: a long wooden box\nField six: {{ value }}")], "doc_id long, text string")
+    ex = spark.createDataFrame([("own", "zorbl wuff grkl"), ("form", "field one: _"), ("form", "field two: _"), ("form", "field six: _"), (None, "access denied"), ("own", None)], "label string, passage string")
+    got = {r.id: (r.kind, round(r.coverage, 2)) for r in residue.residue_scores(df, "doc_id", "text", exemplars=ex).collect()}
+    assert got[1] == ("own", 1.0) and got[2] == (None, 0.0) and got[3][1] == 1.0 and got[4][1] < 0.4
+    with pytest.raises(ValueError):
+        residue.residue_scores(df, "doc_id", "text", exemplars=ex, most_exemplars=2)
+
+
 def test_exemplars_find_themselves():
     index = residue.Exemplars(1000, {}, 4.6)
     for label, passages in residue.EXEMPLARS.items():
