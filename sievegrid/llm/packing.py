@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .arrow import map_columns
+from ..session import broadcast_if_small, materialize
 
 
 def best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
@@ -92,22 +92,23 @@ def whole_plan(histogram: dict[int, int], capacity: int, rounds: int = 100, pass
     return [({int(s): int(n) for s, n in zip(sizes, np.frombuffer(k, dtype=np.int64)) if n}, m) for k, m in plan.items()]
 
 
-def pack(items: DataFrame, capacity: int, salts: int = 32, rounds: int = 100) -> DataFrame:
+def pack(items: DataFrame, capacity: int, part: int = 200_000, rounds: int = 100) -> DataFrame:
     """``(id, piece_no, start_token, n_tokens, bin_id, bin_offset)`` for ``items(id, n_tokens)``.
 
     An item longer than ``capacity`` is divided into full pieces, a sequence each, and a rest; no other item is divided. Items of null or no length are left out;
     equal ids are items of their own. Only the histogram of lengths, at most ``capacity`` numbers, comes to the driver, where the
-    configuration program is solved on it; its size does not depend on the data. Spark ranks the items within their length, in
-    ``salts`` parts a length so that a length shared by a third of all items is not sorted in one task, and every item finds its sequence from
+    configuration program is solved on it; its size does not depend on the data. Spark ranks the items within their length; a length with more
+    than ``part`` items is ranked in as many parts as it needs, so that one shared by a third of all items is not sorted in one task, and every item finds its sequence from
     its length and rank.
     """
+    spark = items.sparkSession
     whole = F.floor(F.col("n_tokens") / capacity)
     pieces = items.where("n_tokens > 0").select("id", F.col("n_tokens").alias("all"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, whole * 0))).alias("piece"))
     pieces = pieces.select("id", (F.col("piece") + 1).cast("int").alias("piece_no"), (F.col("piece") * capacity).alias("start_token"), F.least(F.lit(capacity), F.col("all") - F.col("piece") * capacity).cast("long").alias("n_tokens"))
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)).cast("int")), "pieces")
+    pieces = materialize(pieces, "pieces")
 
-    counts = pieces.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
-    plan = whole_plan({r.n_tokens: r.n for r in counts.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}, capacity, rounds)
+    histogram = {r.n_tokens: r.n for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    plan = whole_plan(histogram, capacity, rounds)
     places: dict[int, list[tuple[int, int, int]]] = {}
     filled: dict[int, int] = {}
     base = 0
@@ -116,24 +117,28 @@ def pack(items: DataFrame, capacity: int, salts: int = 32, rounds: int = 100) ->
             places.setdefault(s, []).append((filled.get(s, 0), n, base))
             filled[s] = filled.get(s, 0) + n * times
         base += times
-    table = {s: np.array(v) for s, v in places.items()}
-    shared = items.sparkSession.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast({s: np.array(v) for s, v in places.items()})
 
+    per = spark.createDataFrame([(int(s), -(-int(n) // part)) for s, n in histogram.items()], "n_tokens long, salts long")  # at most capacity rows
+    salted = pieces.join(F.broadcast(per), "n_tokens").withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), "salts").cast("int"))
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("n_tokens", "salt", "before")  # at most capacity * salts rows
+    counts = salted.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
+    offsets = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("n_tokens", "salt", "before"), "offsets")
     at = Window.partitionBy("n_tokens", "salt").orderBy("id", "piece_no")
-    ranked = pieces.withColumn("r", F.row_number().over(at) - 1).join(F.broadcast(offsets), ["n_tokens", "salt"])
+    ranked = salted.withColumn("r", F.row_number().over(at) - 1).join(broadcast_if_small(offsets, 40), ["n_tokens", "salt"])
     ranked = ranked.select("id", "piece_no", "start_token", "n_tokens", (F.col("r") + F.col("before")).alias("rank"))
 
-    def place(b: dict[str, list]) -> dict[str, list]:
-        known, out = shared.value, []
-        for s, r in zip(b["n_tokens"], b["rank"]):
-            t = known[s]
-            first, n, start = t[np.searchsorted(t[:, 0], r, "right") - 1]
-            out.append(int(start + (r - first) // n))
-        return {k: b[k] for k in ("id", "piece_no", "start_token", "n_tokens")} | {"bin_id": out}
-
-    placed = map_columns(ranked, place, f"id {dict(items.dtypes)['id']}, piece_no int, start_token bigint, n_tokens bigint, bin_id bigint")
+    def place(batches):
+        for b in batches:
+            size, rank = b.column("n_tokens").to_numpy(), b.column("rank").to_numpy()
+            out = np.zeros(len(size), dtype=np.int64)
+            for s in np.unique(size):
+                i, t = np.flatnonzero(size == s), shared.value[int(s)]
+                first, n, start = t[np.searchsorted(t[:, 0], rank[i], "right") - 1].T
+                out[i] = start + (rank[i] - first) // n
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out)], names=["id", "piece_no", "start_token", "n_tokens", "bin_id"])
+
+    placed = ranked.mapInArrow(place, f"id {dict(items.dtypes)['id']}, piece_no int, start_token bigint, n_tokens bigint, bin_id bigint")
     inside = Window.partitionBy("bin_id").orderBy(F.desc("n_tokens"), "id", "piece_no").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("bin_offset", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
 

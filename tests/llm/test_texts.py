@@ -145,7 +145,7 @@ def test_pack_rows(spark):
     rng = random.Random(2)
     sizes = [7] * 400 + [rng.randint(1, 100) for _ in range(300)] + [250, 200, 100, 0]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)] + [(9999, None)], "id long, n_tokens long")
-    got = packing.pack(df, 100, salts=4, rounds=40).collect()
+    got = packing.pack(df, 100, part=150, rounds=40).collect()
     by_bin, by_id = {}, {}
     for r in got:
         by_bin.setdefault(r.bin_id, []).append(r)
