@@ -78,6 +78,24 @@ def test_true_forms_are_all_words_that_misreading_explains(vocabulary, seen):
     assert set(pages.true_forms(pages.trie_of(vocabulary), seen)) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="cdlmrnehi", min_size=1, max_size=5), st.text(alphabet="cdlmrnehi1305", min_size=1, max_size=6))
+def test_no_word_lies_outside_the_shards_of_what_it_may_stand_for(true, seen):
+    if pages.misreadings(seen, true) is not None:
+        assert true[:2] in pages.true_prefixes(seen)
+
+
+def test_damage_does_not_depend_on_the_size_of_the_corpus(spark):
+    def lines(times):
+        texts = [t for i in range(times) for t in (SOUND, SCAN + f"\n\nThe cornrnon sarnple was compared with another sample {i}.")]
+        texts += ["A lone narnpli stands in this line of the common film."] * times
+        damage, _ = pages.find_damage(_rows(spark, *texts))
+        last = {"0": 0, "1": 1, str(2 * times): 2}
+        return {(last[r.record_key], r.line_no, r.kind) for r in damage.collect() if r.record_key in last}
+
+    assert lines(1) == lines(12) and (1, 6, "misread") in lines(1)
+
+
 def test_words_misread_at_several_places(spark):
     sound = "\n".join(f"The membrane was connected to the turnclorn sample, which enhanced section {i}." for i in range(40))
     damage, _ = pages.find_damage(_rows(spark, sound, "The rnernbrane was coririectecl\nto the tumdom sample\nand to m3rnbran3\nand rnembrane."))
