@@ -20,7 +20,7 @@ STOPWORDS = (
     " get use make how why when where not no yes so very just also too"
 ).split()
 
-#: Short names of filter keys.
+# Fixed value: short names of filter keys.
 ALIASES = {"collection": "collection", "col": "collection", "c": "collection", "type": "doc_type", "doc_type": "doc_type", "t": "doc_type", "source": "source_path", "src": "source_path", "s": "source_path", "tag": "tags", "tags": "tags"}
 
 
@@ -54,6 +54,12 @@ def filter_pairs(c) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.coalesce(F.element_at(names, F.lower(p["k"])), p["k"]).alias("key"), p["v"].alias("value")))
 
 
+def filter_map(c) -> Column:
+    """The ``key:value`` parts as a map; of a repeated key the last counts."""
+    pairs = filter_pairs(c)
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
+
+
 def query_tokens(c) -> Column:
     """Query tokens in order, case kept; tokens with Han characters fall apart into Han and Latin runs."""
     parts = F.transform(extract_all(col(c), QUERY_TOKEN), lambda t: F.when(t.rlike(HAN), extract_all(t, HAN_OR_LATIN)).otherwise(F.array(t)))
@@ -107,6 +113,7 @@ def summary(c, sentences: int = 3) -> Column:
 
 def tags(c, most: int = 10) -> Column:
     """Capitalised phrases, identifiers and emphasised terms, at most five of each, sorted."""
+    # The three patterns.
     caps = F.slice(extract_all(c, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), 1, 5)
     names = F.slice(extract_all(c, r"\b[a-z]+(?:[A-Z][a-z]*)+\b|\b[a-z]+_[a-z_]+\b"), 1, 5)
     marks = F.transform(F.slice(extract_all(c, r"\*\*.+?\*\*|\*.+?\*|__.+?__|_.+?_"), 1, 5), lambda m: F.trim(F.regexp_replace(m, r"^(?:\*\*|\*|__|_)|(?:\*\*|\*|__|_)$", "")))
@@ -116,7 +123,7 @@ def tags(c, most: int = 10) -> Column:
 
 def refine(c) -> Column:
     """Page banners, comments, tags and surplus white space removed outside of code fences; null stays null."""
-    def clean(s: Column) -> Column:
+    def clean(s: Column) -> Column:  # the patterns are fixed values
         s = F.regexp_replace(s, r"(?is)─{10,}.*?(?:page \d+|footer|section \d+|©|confidential).*?─{10,}", "")
         s = F.regexp_replace(s, "─{10,}", "")
         s = F.regexp_replace(F.regexp_replace(s, r"(?s)<!--.*?-->", ""), "<[^>]+>", "")

@@ -38,10 +38,12 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return df.join(corpus_stats(postings).select("collection", "num_docs"), "collection").select("collection", "term", "df", idf(F.col("num_docs"), F.col("df")).alias("idf"))
 
 
-def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The old index with the chunks of ``new`` replaced."""
-    ids = new.select("collection", "chunk_id").distinct()
-    return old.join(ids, ["collection", "chunk_id"], "left_anti").unionByName(new)
+def merge_postings(old: DataFrame, new: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """The old index with the chunks of ``new`` replaced, and without those of ``touched(chunk_id)`` that are not in ``new``: chunks that were deleted or lost their terms.
+    A chunk belongs to one collection at a time."""
+    ids = new.select("chunk_id")
+    ids = (ids if touched is None else ids.unionByName(touched.select("chunk_id"))).distinct()
+    return old.join(ids, "chunk_id", "left_anti").select(*old.columns).unionByName(new)
 
 
 def remove_by_prefix(postings: DataFrame, prefix: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +17,15 @@ def top_k(scored: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, postings: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, stats: DataFrame | None = None) -> DataFrame:
     """BM25 of ``queries(query_id, collection, keywords)`` against the postings of their collection; terms are matched as given.
 
     Only postings of asked terms are read into the scoring: the query terms are the small side of the first join, and document
-    frequencies are counted on what it leaves.
+    frequencies are counted on what it leaves. ``stats`` are the statistics of the collections where they are stored, else they are counted.
     """
     terms = queries.select("query_id", "collection", F.explode("keywords").alias("term"))
     asked = postings.join(terms.select("collection", "term").distinct(), ["collection", "term"], "left_semi")
-    stats = corpus_stats(postings).select("collection", "num_docs", "avg_doc_length")
+    stats = (corpus_stats(postings) if stats is None else stats).select("collection", "num_docs", "avg_doc_length")
     df = asked.groupBy("collection", "term").agg(F.count("*").alias("df")).join(stats, "collection")
     weight = df.select("collection", "term", "avg_doc_length", idf(F.col("num_docs"), F.col("df")).alias("idf"))
     avg = F.when(F.col("avg_doc_length") == 0, 1.0).otherwise(F.col("avg_doc_length"))
@@ -41,62 +41,56 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """Exact cosine top-k of ``queries(query_id, scope, vector)`` among ``vectors(chunk_id, scope, vector)`` of the same scope.
+def _usable(c: str) -> Column:
+    finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
-    The queries are a stated set: they are taken in blocks of ``block`` (so what is sent to the tasks is bounded), each block is multiplied with
-    the vectors partition by partition, and only the best ``k`` a query and partition are shuffled. Score is (1 + cos) / 2. Null, all-zero
-    and non-finite vectors, and vectors of another length, match nothing. Without ``exclude_self`` a vector finds itself.
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, part: int = 8192) -> DataFrame:
+    """Exact cosine top-k of ``queries(query_id, scope, vector)`` among ``vectors(chunk_id, scope, vector)`` of the same scope and length.
+
+    A query does not find the chunk named in its column ``self_id``; without that column it does not find the chunk of its own id. The queries of a scope are dealt
+    to blocks of about ``block``, its vectors to parts of about ``part``, and each block meets each part in one task as a matrix product that keeps the
+    best ``k`` of a query, so neither side passes the driver or has to fit a task. Score is (1 + cos) / 2; ties go by id. Null, all-zero and
+    non-finite vectors match nothing, nor does a null scope.
     """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", "scope", "vector").where("vector is not null").toLocalIterator()
-    out: DataFrame | None = None
-
-    def usable(vs) -> tuple[np.ndarray, np.ndarray]:
-        dims = [len(v) if v is not None else 0 for v in vs]
-        return np.array(dims), np.array([d > 0 and bool(np.isfinite(np.asarray(v, dtype=float)).all()) and bool(np.any(v)) for d, v in zip(dims, vs)], dtype=bool)
-
-    def run_block(part: list) -> DataFrame:
-        dims, ok = usable([r.vector for r in part])
-        dim = int(np.bincount(dims[ok]).argmax()) if ok.any() else 0
-        part = [r for r, d, o in zip(part, dims, ok) if o and d == dim]
-        m = np.array([r.vector for r in part], dtype=float).reshape(len(part), dim)
-        m = m / np.linalg.norm(m, axis=1, keepdims=True) if len(part) else m
-        sent = spark.sparkContext.broadcast((m, np.array([r.query_id for r in part], dtype=object), np.array([r.scope for r in part], dtype=object)))
-
-        def score(batches):
-            qm, qid, scope = sent.value
-            best: dict = {}
-            for pdf in batches:
-                d, good = usable(pdf["vector"])
-                pdf = pdf[good & (d == qm.shape[1])] if len(qid) else pdf[:0]
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["vector"].to_numpy()).astype(float)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                ids, where = pdf["chunk_id"].to_numpy(), pdf["scope"].to_numpy()
-                for s in set(where) & set(scope):
-                    q, c = np.flatnonzero(scope == s), np.flatnonzero(where == s)
-                    sim = (1 + qm[q] @ x[c].T) / 2
-                    for i, row in zip(q, sim):
-                        keep = np.argpartition(-row, k)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
-                        edge = row[keep].min() - 1e-8  # ties at the edge are settled by id, so all of them stay
-                        keep = np.flatnonzero(row >= edge)
-                        best.setdefault(i, []).extend((ids[c[j]], float(row[j])) for j in keep if not (exclude_self and ids[c[j]] == qid[i]))
-            flat = []
-            for i, found in best.items():
-                found.sort(key=lambda f: (-round(f[1], 9), f[0]))
-                flat += [(qid[i], c, s) for c, s in found[: k + 1]]
-            yield pd.DataFrame(flat, columns=["query_id", "chunk_id", "score"])
-
-        kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-        return vectors.select("chunk_id", "scope", "vector").mapInPandas(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) == block:
-            out, part = run_block(part) if out is None else out.unionByName(run_block(part)), []
-    if part or out is None:
-        out = run_block(part) if out is None else out.unionByName(run_block(part))
-    return top_k(out, k)
+    key = ["scope", "dim"]
+    own = F.col("self_id" if "self_id" in queries.columns else "query_id").cast("string")
+    q = queries.where(_usable("vector")).select("query_id", own.alias("self_id"), "scope", F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("vector"))
+    v = vectors.where(_usable("vector")).select("chunk_id", "scope", F.size("vector").alias("dim"), F.col("vector").cast("array<double>").alias("vector"))
+    cells = q.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(v.groupBy(*key).agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), key)
+    left = q.join(cells, key).withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    right = v.join(cells, key).withColumn("part", F.pmod(F.xxhash64("chunk_id"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+
+    def units(t: pa.Table) -> np.ndarray:
+        m = t.column("vector").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("chunk_id")  # so that ties at the edge go by id
+            x, y, ids = units(a), units(b), np.array(b.column("chunk_id").cast(pa.string()).to_pylist(), dtype=object)
+            selves = np.array(a.column("self_id").to_pylist(), dtype=object)
+            at = {i: n for n, i in enumerate(ids)}
+            for begin in range(0, len(x), 512):
+                sim = np.round((1 + x[begin : begin + 512] @ y.T) / 2, 12)
+                for row, me in enumerate(selves[begin : begin + 512]):
+                    if me in at:
+                        sim[row, at[me]] = -1
+                top = min(k, sim.shape[1])
+                edge = np.partition(np.round(sim, 9), -top, axis=1)[:, -top]
+                for row in range(len(sim)):  # all that tie with the edge are looked at, and the best k by score and id stay
+                    near = np.flatnonzero((np.round(sim[row], 9) >= edge[row]) & (sim[row] >= 0))
+                    near = near[np.lexsort((near, -np.round(sim[row, near], 9)))][:k]
+                    parts.append((np.full(len(near), begin + row), near, sim[row, near]))
+        i, j, s = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.Table.from_arrays([a.column("query_id").take(pa.array(i)), b.column("chunk_id").take(pa.array(j)), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    def celled(side: DataFrame, mark: str, *keep: str):  # new names, as both sides may come from one table
+        named = side.select(*keep, "vector", *[F.col(c).alias(f"{mark}_{c}") for c in (*key, "block", "part")])
+        return named.groupBy(*[f"{mark}_{c}" for c in (*key, "block", "part")])
+
+    found = celled(left, "q", "query_id", "self_id").cogroup(celled(right, "v", "chunk_id"))
+    return top_k(found.applyInArrow(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k)

@@ -34,10 +34,12 @@ def current_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The vector of the first expected chunk that has one stands for the query, as no text encoder is at hand."""
+    """The vector of the first expected chunk that has one stands for the query, as no text encoder is at hand; that chunk itself is
+    no result of the query."""
     e = golden(spark, d).select("query_id", "collection", F.posexplode("expected_chunk_ids").alias("pos", "chunk_id"))
     j = e.join(current_vectors(spark, d).select("chunk_id", "vector"), "chunk_id")
-    return j.groupBy("query_id").agg(F.min_by(F.struct("collection", "vector"), F.col("pos")).alias("s")).select("query_id", F.col("s.collection").alias("scope"), F.col("s.vector").alias("vector"))
+    first = j.groupBy("query_id").agg(F.min_by(F.struct("collection", "vector", "chunk_id"), F.col("pos")).alias("s"))
+    return first.select("query_id", F.col("s.collection").alias("scope"), F.col("s.vector").alias("vector"), F.col("s.chunk_id").alias("self_id"))
 
 
 def sparse_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
@@ -78,6 +80,11 @@ def L5_hybrid(spark, d):
     return shown(fuse.demote(ranked, kinds))
 
 
+def L6_single_list(spark, d):
+    """Fusion before demotion; queries without a query vector, or without a keyword in the index, keep the scores of their one list."""
+    return shown(fuse.fuse(lists(spark, d), top=10))
+
+
 def embeddings(spark, d):
     e = table(spark, d, "embeddings")
     v = e.select(F.col("vec_id").alias("chunk_id"), F.lit("all").alias("scope"), F.col("embedding").alias("vector"), "label")
@@ -209,11 +216,16 @@ def _post(spark, d):
     return index.term_frequencies(live_chunks(spark, d))
 
 
+def _index_parts(spark, d):
+    """An index of what was loaded before a time, the chunks loaded since, and the ids of all chunks that any row since names, deletions too."""
+    rows, cut = table(spark, d, "chunks"), F.lit("2031-10-01").cast("timestamp_ntz")
+    old, new = (live_rows(rows.where(c), ["chunk_id"]) for c in (F.col("loaded_at") < cut, F.col("loaded_at") >= cut))
+    return index.term_frequencies(old), index.term_frequencies(new), rows.where(F.col("loaded_at") >= cut).select("chunk_id").distinct()
+
+
 def B4_merge(spark, d):
-    c = live_chunks(spark, d)
-    cut = F.lit("2031-10-01").cast("timestamp_ntz")
-    merged = index.merge_postings(index.term_frequencies(c), index.term_frequencies(c.where(F.col("loaded_at") >= cut)))
-    return index.term_stats(merged).select("collection", "term", "df", F.round("idf", 9).alias("idf"))
+    """Merging what was loaded later into an older index gives the index of all."""
+    return index.term_stats(index.merge_postings(*_index_parts(spark, d))).select("collection", "term", "df", F.round("idf", 9).alias("idf"))
 
 
 def B5_remove(spark, d):
@@ -229,7 +241,7 @@ QUERIES = {
     "L3_rrf": lambda s, d: shown(fuse.rrf(lists(s, d))),
     "L4_weighted_rrf": lambda s, d: shown(fuse.rrf(lists(s, d), weights=[0.7, 0.3])),
     "L5_hybrid": L5_hybrid,
-    "L6_single_list": lambda s, d: shown(fuse.fuse([sparse_list(s, d).where("query_id like '%1'"), dense_list(s, d)], top=10)),
+    "L6_single_list": L6_single_list,
     "H1_interleave": lambda s, d: shown(fuse.interleave(lists(s, d)[::-1], 10)),
     "L9_rerank_overlap": L9_rerank_overlap,
     "L10_conservative": L10_conservative,
@@ -291,10 +303,10 @@ VEC = f"""vec as (
   where rn = 1 and len(vector) = {DIM} and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0
 ),
 qv as (
-  select query_id, g.collection, v from (select query_id, collection, unnest(expected_chunk_ids) id, unnest(range(len(expected_chunk_ids))) pos from gold) g join vec on vec.id = g.id
+  select query_id, g.collection, v, vec.id from (select query_id, collection, unnest(expected_chunk_ids) id, unnest(range(len(expected_chunk_ids))) pos from gold) g join vec on vec.id = g.id
   qualify row_number() over (partition by query_id order by pos) = 1
 ),
-dn as (select query_id, vec.id chunk_id, (1 + list_cosine_similarity(qv.v, vec.v)) / 2 score from qv join vec on qv.collection = vec.collection),
+dn as (select query_id, vec.id chunk_id, (1 + list_cosine_similarity(qv.v, vec.v)) / 2 score from qv join vec on qv.collection = vec.collection and vec.id <> qv.id),
 dnr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank from dn qualify rank <= 20)"""
 LISTS = "lists as (select query_id, chunk_id, score, rank, 0 l from bmr union all select query_id, chunk_id, score, rank, 1 from dnr)"
 RRF = """rrf as (select query_id, chunk_id, sum(1::double / (60 + rank)) score from lists group by all),
@@ -345,7 +357,7 @@ SQL = {
     "L3_rrf": f"{BOTH} select {_SHOW} from rr where rank <= 10",
     "L4_weighted_rrf": f"{BASE}, {VEC}, {LISTS}, w as (select query_id, chunk_id, sum(case l when 0 then 0.7::double else 0.3::double end / (60 + rank)) score from lists group by all) select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank, round(score, 6) score from w qualify rank <= 10",
     "L5_hybrid": f"{BOTH}, {FUSED}, dm as (select query_id, chunk_id, case when chunk_type = 'reference' then score * 0.3::double else score end score from fr left join live using (chunk_id)) select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id)::int as rank, round(score, 6) score from dm",
-    "L6_single_list": f"{BASE}, {VEC}, lists as (select query_id, chunk_id, score, rank, 0 l from bmr where query_id like '%1' union all select query_id, chunk_id, score, rank, 1 from dnr), {FUSED} select {_SHOW} from fr",
+    "L6_single_list": f"{BOTH}, {FUSED} select {_SHOW} from fr",
     "H1_interleave": f"{BASE}, {VEC}, lists as (select query_id, chunk_id, score, rank, 1 l from bmr union all select query_id, chunk_id, score, rank, 0 from dnr), g as (select query_id, chunk_id, min(rank * 2 + l) turn, arg_min(score, rank * 2 + l) score from lists group by all) select query_id, chunk_id, row_number() over (partition by query_id order by turn)::int as rank, round(score, 6) score from g qualify rank <= 10",
     "L9_rerank_overlap": f"{BOTH}, {OVERLAP}, n as (select query_id, count(*) n from rt group by 1) select query_id, chunk_id, row_number() over (partition by query_id order by round(s, 9) desc nulls last, rank)::int as rank, round(coalesce(s, score), 6) score from rt join n using (query_id) left join ov using (query_id, chunk_id) where s is not null or n = 1",
     "L10_conservative": f"""{BOTH}, {OVERLAP}, a as (select query_id, chunk_id, case when max(score) over w = min(score) over w then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end a from rt window w as (partition by query_id)),

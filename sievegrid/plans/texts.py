@@ -80,8 +80,10 @@ def I21_paper_fields(spark, d):
 
 
 def C2_merged_filters(spark, d):
-    g = golden(spark, d).select("query_id", F.create_map(F.lit("collection"), F.coalesce("collection", F.lit("")), F.lit("doc_type"), F.lit("pdf"), F.lit("lang"), F.lit("de")).alias("parsed"), F.create_map(F.lit("doc_type"), F.lit("paper")).alias("explicit"))
-    return g.select("query_id", F.explode(T.merged_filters("parsed", "explicit")).alias("key", "value"))
+    """Filters written into the query, under those given beside it."""
+    given = F.when(F.col("query_type").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("tags"), "query_type"))
+    q = _typed(spark, d).join(golden(spark, d).select("query_id", given.alias("explicit")), "query_id").select("query_id", T.filter_map("query").alias("parsed"), "explicit")
+    return q.select("query_id", F.explode(T.merged_filters("parsed", "explicit")).alias("key", "value"))
 
 
 def I22_annotations(spark, d):
@@ -127,7 +129,11 @@ for _p, _r in (("(?s)<!--.*?-->", "''"), ("<[^>]+>", "''"), (" {{2,}}", "' '"),
 _FENCE = "(?s)```.*?```"
 
 SQL = {
-    "C2_merged_filters": f"with {GOLD} select query_id, unnest(['doc_type', 'lang']) as key, unnest(['paper', 'de']) as value from gold",
+    "C2_merged_filters": f"""with {GOLD}, q as (select query_id, query_type, concat_ws(' ', query, 'c:' || collection, 'tags:' || query_type || ',x', 'Lang:de') query from gold),
+a as (select query_id, query_type, regexp_extract_all({_C.format('query')}, '{T.FILTER}', 1) ks, regexp_extract_all({_C.format('query')}, '{T.FILTER}', 2) vs from q),
+p as (select query_id, query_type, unnest(ks) k, unnest(vs) v, unnest(range(len(ks))) pos from a),
+l as (select query_id, query_type, coalesce(case lower(k) {_ALIAS} end, k) as key, arg_max(v, pos) as value from p group by all)
+select query_id, key, value from l where key <> 'collection' and not (key = 'tags' and query_type is not null) union all select query_id, 'tags', query_type from gold where query_type is not null""",
     "I22_annotations": f"""with {LIVE} select chunk_id, len(regexp_extract_all(text, '\\[IMAGE: [^\\]]+\\]'))::int n_images, len(regexp_extract_all(text, '\\$[^$\\n]+\\$'))::int n_equations,
  len(regexp_extract_all(text, '(?s).{{0,40}}\\[[0-9,\\s]+\\].{{0,40}}'))::int n_contexts, len(regexp_extract_all(text, '\\[[0-9,\\s]+\\]'))::int n_citations from live where text is not null""",
     "C1_filter_syntax": f"""with {GOLD}, q as (select query_id, concat_ws(' ', query, 'c:' || collection, 'tags:' || query_type || ',x', 'Lang:de') query from gold),
