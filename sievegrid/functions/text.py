@@ -66,9 +66,13 @@ def query_tokens(c) -> Column:
     return F.flatten(parts)
 
 
-def keywords(c, most: int = 20, match_case: bool = False) -> Column:
+def edited_stopwords(added=(), removed=()) -> list[str]:
+    return [*(w for w in STOPWORDS if w not in set(removed)), *added]
+
+
+def keywords(c, most: int = 20, match_case: bool = False, stopwords=STOPWORDS) -> Column:
     """Keywords of a query: tokens that are no stopwords, each once whatever its case, the first ``most``; lower-cased unless ``match_case``."""
-    kept = F.filter(query_tokens(without_filters(c)), lambda t: ~F.lower(t).isin(STOPWORDS))
+    kept = F.filter(query_tokens(without_filters(c)), lambda t: ~F.lower(t).isin(list(stopwords)))
     low = F.transform(kept, F.lower)
     once = F.filter(kept, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
     out = F.slice(once, 1, most)
@@ -138,6 +142,18 @@ def refine(c) -> Column:
     return F.regexp_replace(back, r"^\s+|\s+$", "")
 
 
+def section_path(c) -> Column:
+    """The parts of a section path, written as a JSON array or as ``a/b``, stripped; empty parts are left out, null has none."""
+    raw = F.trim(col(c))
+    parts = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, "/"))
+    return F.coalesce(F.filter(F.transform(parts, F.trim), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+
+
+def first_page(*cols) -> Column:
+    """The first of several page columns, numbers or texts, that is set; null where it is no whole number."""
+    return F.coalesce(*[col(c).cast("string") for c in cols]).try_cast("int")
+
+
 def locator(first, last) -> Column:
     a, b = col(first), col(last)
     return F.when(a.isNull(), None).when(b.isNull() | (a == b), F.concat(F.lit("p. "), a.cast("string"))).otherwise(F.concat(F.lit("pp. "), a.cast("string"), F.lit("–"), b.cast("string")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,6 +44,56 @@ def aggregate(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n_queries"), *[F.avg(F.coalesce(m, F.lit(0.0))).alias(m) for m in METRICS])
 
 
+def strict_means(metrics: DataFrame) -> DataFrame:
+    """Means over queries; no queries, or a query without one of the metrics, are an error."""
+    def mean(m: str):
+        return F.when((F.count("*") == 0) | (F.count(m) < F.count("*")), F.raise_error(F.lit(f"{m}: no queries, or queries without it"))).otherwise(F.avg(m))
+
+    return metrics.agg(*[mean(m).alias(m) for m in METRICS])
+
+
+def success_rates(outcomes: DataFrame) -> DataFrame:
+    """Of ``outcomes(got, judged)``, one row a query: the share with results, and the share with results that can be judged."""
+    return outcomes.agg(
+        F.count("*").alias("n_queries"),
+        F.avg(F.col("got").cast("double")).alias("retrieval_success_rate"), F.avg((F.col("got") & F.col("judged")).cast("double")).alias("evaluation_success_rate"),
+    )
+
+
+def same_candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(query_id, same)``: whether two rankings hold the same chunks for a query."""
+    x, y = (r.select("query_id", "chunk_id").distinct().withColumn(c, F.lit(1)) for r, c in ((a, "x"), (b, "y")))
+    j = x.join(y, ["query_id", "chunk_id"], "full")
+    return j.groupBy("query_id").agg((F.count("x") == F.count("*")) & (F.count("y") == F.count("*"))).toDF("query_id", "same")
+
+
+def composite(parts: Sequence[DataFrame]) -> DataFrame:
+    """``(query_id, metric, value)`` of several tables of metrics by query; of a metric in several of them the last counts. A query without any metric has no row."""
+    if not parts:
+        raise ValueError("no metrics to merge")
+    out = None
+    for i, p in enumerate(parts):
+        names = [c for c in p.columns if c != "query_id"]
+        long = p.select("query_id", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]))).withColumn("at", F.lit(i))
+        out = long if out is None else out.unionByName(long)
+    return out.where("value is not null").groupBy("query_id", "metric").agg(F.max_by("value", "at").alias("value"))
+
+
+#: Names that the id of a record may go by, the first one wins.
+ID_FIELDS = ("id", "chunk_id", "document_id", "doc_id")
+
+
+def record_ids(c) -> Column:
+    """The ids of a JSON array of records, plain strings or objects with one of ``ID_FIELDS``, in order; an entry without an id is an error, null has no ids."""
+    entries = F.from_json(c, "array<string>")
+
+    def ident(x: Column) -> Column:
+        found = F.coalesce(*[F.get_json_object(x, f"$.{f}") for f in ID_FIELDS])
+        return F.when(~F.startswith(F.ltrim(x), F.lit("{")), x).when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("a record without an id")))
+
+    return F.coalesce(F.transform(entries, ident), F.array().cast("array<string>"))
+
+
 def compare(before: DataFrame, after: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """How many queries improved, stayed or degraded, by metric."""
     b = before.select("query_id", F.stack(F.lit(len(METRICS)), *[x for m in METRICS for x in (F.lit(m), F.col(m))]).alias("metric", "x"))
