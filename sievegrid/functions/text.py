@@ -90,7 +90,8 @@ def snippet(c, most: int = 200) -> Column:
 
 
 def chunk_id(doc, index, text) -> Column:
-    return F.concat(col(doc), F.lit("_"), F.lpad(col(index).cast("string"), 4, "0"), F.lit("_"), F.substring(F.sha2(col(text), 256), 1, 8))
+    """The document id, the index padded to four digits (longer ones stay whole), and the start of the text's hash."""
+    return F.concat(col(doc), F.lit("_"), F.lpad(col(index).cast("string"), F.greatest(F.lit(4), F.length(col(index).cast("string"))), F.lit("0")), F.lit("_"), F.substring(F.sha2(col(text), 256), 1, 8))
 
 
 def title(c) -> Column:
@@ -146,7 +147,7 @@ def section_path(c) -> Column:
     """The parts of a section path, written as a JSON array or as ``a/b``, stripped; empty parts are left out, null has none."""
     raw = F.trim(col(c))
     parts = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, "/"))
-    return F.coalesce(F.filter(F.transform(parts, F.trim), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
 def first_page(*cols) -> Column:

@@ -64,6 +64,35 @@ def sync_plan(source: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataF
     return source.join(s, list(keys), "left").withColumn("action", action).drop("__status", "__sha", "__version", "__known")
 
 
+def execute_plan(plan: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The state after a sync plan: added and updated rows are ``synced`` with the source's hash and version, skipped rows stay as they are, and rows the source no
+    longer lists become ``inactive``. ``plan`` comes from ``sync_plan``; both have ``(*keys, status, file_sha256, source_version)``."""
+    cols = [*keys, "file_sha256", "source_version", "status"]
+    done = plan.where("action <> 'skip'").select(*keys, "file_sha256", "source_version", F.lit("synced").alias("status"))
+    kept = state.join(plan.where("action = 'skip'").select(*keys).distinct(), list(keys), "left_semi").select(*cols)
+    lost = missing_from(state, plan, keys).select(*keys, "file_sha256", "source_version", F.lit("inactive").alias("status"))
+    return done.unionByName(kept).unionByName(lost)
+
+
+def delete_documents(stores: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every store ``(doc_id, ...)`` without the documents of ``gone(doc_id)``, and ``(store, n_before, n_deleted)``. Rows without a document stay."""
+    ids = gone.select("doc_id").where("doc_id is not null").distinct().withColumn("gone", F.lit(True))
+    left = {n: df.join(ids.select("doc_id"), "doc_id", "left_anti") for n, df in stores.items()}
+    report = None
+    for n, df in stores.items():
+        r = df.join(ids, "doc_id", "left").agg(F.lit(n).alias("store"), F.count("*").alias("n_before"), F.count("gone").alias("n_deleted"))
+        report = r if report is None else report.unionByName(r)
+    return left, report
+
+
+def by_identity(documents: DataFrame, **identity: str | None) -> DataFrame:
+    """The documents with one identity, say ``item_key="X"``; none or several at once are an error."""
+    given = {k: v for k, v in identity.items() if v is not None}
+    if len(given) != 1:
+        raise ValueError(f"exactly one of {', '.join(identity)}")
+    return documents.where(where(given))
+
+
 def missing_from(state: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
     """State rows whose keys the source no longer lists."""
     return state.join(active.select(*keys).distinct(), list(keys), "left_anti")

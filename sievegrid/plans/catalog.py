@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import context, integrity, retrieval, stores, texts
+from . import context, integrity, records, retrieval, stores, texts
 
-_PARTS = (retrieval, context, texts, stores, integrity)
+_PARTS = (retrieval, context, texts, records, stores, integrity)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
 

@@ -27,10 +27,19 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE).option("mode", "DROPMALFORMED").json(path).where("trace_id is not null")
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """``(query_id, query, expected_chunk_ids, reference_answer)`` of golden sets ``{"test_cases": [...]}``; older names of the fields count too, cases without a query do not."""
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Reports of evaluation runs in JSON lines, ``(run_id, generated_at, metrics)``; blank and malformed lines, and lines without metrics, are skipped."""
+    return spark.read.schema("run_id string, generated_at string, metrics map<string,double>").option("mode", "DROPMALFORMED").json(path).where("metrics is not null")
+
+
+def read_golden(spark: SparkSession, path: str, allow_list: bool = False) -> DataFrame:
+    """A file that is a list of cases instead is an error unless ``allow_list``. ``(query_id, query, expected_chunk_ids, reference_answer)`` of golden sets ``{"test_cases": [...]}``; older names of the fields count too, cases without a query do not."""
     case = "array<struct<id:string,query_id:string,case_id:string,query:string,question:string,expected_chunk_ids:array<string>,supporting_chunk_ids:array<string>,reference_answer:string,answer:string>>"
-    c = spark.read.schema(f"test_cases {case}").option("multiLine", "true").json(path).select(F.inline("test_cases"))
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    is_list = F.col("value").startswith("[")
+    refused = F.raise_error(F.lit("a golden set must be an object with test_cases; lists are read with allow_list only"))
+    cases = F.when(is_list, F.from_json("value", case) if allow_list else refused.cast(case)).otherwise(F.from_json("value", f"struct<test_cases:{case}>")["test_cases"])
+    c = whole.select(F.inline(cases))
     return c.select(
         F.coalesce("case_id", "query_id", "id").alias("query_id"), F.coalesce("query", "question").alias("query"),
         F.coalesce("expected_chunk_ids", "supporting_chunk_ids", F.array().cast("array<string>")).alias("expected_chunk_ids"), F.coalesce("reference_answer", "answer").alias("reference_answer"),
@@ -58,6 +67,16 @@ def write_run(df: DataFrame, folder: str) -> None:
     df.write.mode("errorifexists").json(folder)
 
 
+def write_tables(df: DataFrame, folder: str) -> None:
+    """Extracted tables ``(collection, table_id, ...)`` as JSON, a folder a collection and one line a table; an existing folder is an error."""
+    df.write.mode("errorifexists").partitionBy("collection").json(folder)
+
+
+def write_manifest(plan: DataFrame, folder: str, keys: list[str]) -> None:
+    """A sync plan as a JSON manifest of one line an entry, in the order of its keys."""
+    plan.select(*keys, "action").orderBy(*keys).write.mode("errorifexists").json(folder)
+
+
 def append_traces(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
