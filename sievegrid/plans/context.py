@@ -225,3 +225,18 @@ select query_id, n_left = n_kept same from x""",
  case when length({R._SNIP}) <= 200 then {R._SNIP} else regexp_replace(substr({R._SNIP}, 1, 200), ' [^ ]*$', '') || '...' end snippet from rr join live using (chunk_id) where rank <= 15""",
     "H2_keywords_edited": f"with {R.GOLD}, {_EDITED} select query_id, (pos - 1)::int pos, term keyword from kw",
 }
+
+_FP = f"coalesce(sha256(lower({R._SNIP})), 'null:' || chunk_id)"
+SQL["L11_dedupe"] = f"""with recursive {R.BOTH.removeprefix('with ')}, {R._PAR},
+it as (select query_id, chunk_id, rank, {_FP} fp, parent_id, row_number() over (partition by query_id order by rank) o
+ from (select rr.*, text, collection from rr join live using (chunk_id) where rank <= 20) left join par using (collection, chunk_id)),
+wk as (
+  select query_id, 0::bigint o, []::varchar[] ids, []::varchar[] fps, []::varchar[] ps from (select distinct query_id from it)
+  union all
+  select query_id, o, case when keep then list_append(ids, chunk_id) else ids end, case when keep then list_append(fps, fp) else fps end, case when keep then list_append(ps, parent_id) else ps end
+  from (select it.query_id, it.o, ids, fps, ps, chunk_id, fp, parent_id, len(ids) < 5 and not list_contains(ids, chunk_id) and not list_contains(fps, fp)
+    and (parent_id is null or len(list_filter(ps, lambda p: p = parent_id)) < 2) keep from wk join it on it.query_id = wk.query_id and it.o = wk.o + 1)
+),
+en as (select query_id, arg_max(ids, o) ids from wk group by 1),
+ou as (select query_id, unnest(ids) chunk_id, unnest(range(1, len(ids) + 1))::int as rank from en)
+select ou.query_id, ou.chunk_id, it.rank old_rank, ou.rank from ou join it using (query_id, chunk_id)"""

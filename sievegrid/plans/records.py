@@ -281,3 +281,4 @@ select store, count(*) n_before, count(*) filter (doc in {_GONE}) n_deleted from
     "Q4_by_item": f"""with {S.STATE}, {LIVE}, c as (select source_ref document_id, arg_min(chunk_id, (coalesce(chunk_index, 0), chunk_id)) first_chunk, count(*) n_chunks from live group by 1)
 select distinct item_key, document_id, first_chunk, n_chunks from now_ join c using (document_id)""",
 }
+SQL["M6_parent_groups"] = SQL["M6_parents"][: SQL["M6_parents"].index("select concat_ws")] + "select doc_id, chunk_id, g group_no from w"
