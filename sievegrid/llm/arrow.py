@@ -1,25 +1,5 @@
-"""Arrow-batched row functions."""
+"""Arrow-batched row functions, those of the core."""
 
-from __future__ import annotations
+from ..arrow import map_columns
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
-
-
-def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """``fn`` gets each Arrow batch as lists by column and returns lists by column of ``schema``."""
-    kind = _parse_datatype_string(schema)
-    assert isinstance(kind, StructType)
-    target = to_arrow_schema(kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, schema)
+__all__ = ["map_columns"]
