@@ -76,11 +76,11 @@ def execute_plan(plan: DataFrame, state: DataFrame, keys: Sequence[str]) -> Data
 
 def delete_documents(stores: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every store ``(doc_id, ...)`` without the documents of ``gone(doc_id)``, and ``(store, n_before, n_deleted)``. Rows without a document stay."""
-    ids = gone.select("doc_id").where("doc_id is not null").distinct().withColumn("gone", F.lit(True))
+    ids = gone.select("doc_id").where("doc_id is not null").distinct().withColumn("__gone", F.lit(True))
     left = {n: df.join(ids.select("doc_id"), "doc_id", "left_anti") for n, df in stores.items()}
     report = None
     for n, df in stores.items():
-        r = df.join(ids, "doc_id", "left").agg(F.lit(n).alias("store"), F.count("*").alias("n_before"), F.count("gone").alias("n_deleted"))
+        r = df.join(ids, "doc_id", "left").agg(F.lit(n).alias("store"), F.count("*").alias("n_before"), F.count("__gone").alias("n_deleted"))
         report = r if report is None else report.unionByName(r)
     return left, report
 
