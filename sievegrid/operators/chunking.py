@@ -20,7 +20,7 @@ def sections(docs: DataFrame) -> DataFrame:
     A document without headings is one section with an empty heading; an empty section 0 of a document that starts with a heading is left out.
     Lines are numbered by their position and summed up within the document, which bounds the window.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where("pos is not null")
     head = F.col("line").rlike(r"^#+\s+\S")
     numbered = lines.withColumn("is_head", head).withColumn("section_no", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
     g = numbered.groupBy("doc_id", "section_no").agg(
@@ -145,9 +145,11 @@ def split_papers(papers: DataFrame, size: int = 1000, overlap: int = 200) -> Dat
 
 def parent_groups(chunks: DataFrame, limit: int = 1200) -> DataFrame:
     """``(doc_id, chunk_id, group_no)``: neighbouring chunks of a document share a parent while their section stays the same and their lengths add up to
-    ``limit`` at most. ``chunks(doc_id, chunk_id, chunk_index, section, text)``; the fold runs over one document's lengths, not texts."""
+    ``limit`` at most. ``chunks(doc_id, chunk_id, chunk_index, section, text)``; the fold runs over one document's lengths, not texts. A chunk
+    without a document is a group of its own."""
     item = F.struct(F.coalesce("chunk_index", F.lit(0)).alias("i"), "chunk_id", F.coalesce("section", F.lit("")).alias("s"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    alone = F.when(F.col("doc_id").isNull(), F.col("chunk_id"))
+    rows = chunks.groupBy("doc_id", alone.alias("alone")).agg(F.array_sort(F.collect_list(item)).alias("rows"))
     kind = "struct<g:int,s:string,n:int,out:array<struct<chunk_id:string,group_no:int>>>"
     zero = F.struct(F.lit(-1).alias("g"), F.lit("").alias("s"), F.lit(0).alias("n"), F.array().cast("array<struct<chunk_id:string,group_no:int>>").alias("out")).cast(kind)
 
@@ -166,9 +168,10 @@ def parents(chunks: DataFrame, limit: int = 1200) -> DataFrame:
     """``(parent_id, document_id, section_path, child_ids, text, page_start, page_end)``: the texts of the chunks that ``parent_groups`` puts together, in order, a blank line between them.
 
     ``chunks(doc_id, chunk_id, chunk_index, section, text, page)``. One parent is bounded by ``limit``, or by its only chunk."""
-    c = chunks.join(parent_groups(chunks, limit), ["doc_id", "chunk_id"])
+    groups = parent_groups(chunks, limit).select(F.col("doc_id").alias("__doc"), F.col("chunk_id").alias("__chunk"), "group_no")
+    c = chunks.join(groups, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("chunk_id") == F.col("__chunk"))).withColumn("alone", F.when(F.col("doc_id").isNull(), F.col("chunk_id")))
     item = F.struct(F.coalesce("chunk_index", F.lit(0)).alias("i"), "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
-    g = c.groupBy("doc_id", "group_no").agg(
+    g = c.groupBy("doc_id", "alone", "group_no").agg(
         F.array_sort(F.collect_list(item)).alias("rows"), F.max(F.coalesce("section", F.lit(""))).alias("section_path"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
     number = F.col("group_no").cast("string")
     digest = F.substring(F.sha2(F.concat_ws(":", "doc_id", number, "section_path"), 256), 1, 12)
@@ -179,7 +182,7 @@ def parents(chunks: DataFrame, limit: int = 1200) -> DataFrame:
 
 def _table_lines(docs: DataFrame) -> DataFrame:
     """Lines of texts with the number of the table they may belong to: ``rule``, ``starts`` and ``inside`` mark the separator, the header and all lines of a table."""
-    lines = docs.select("doc_id", "source_path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", "source_path", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where("pos is not null")
     w = Window.partitionBy("doc_id").orderBy("pos")
     bar = F.col("line").contains("|")
     rule = bar & F.col("line").rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")

@@ -11,9 +11,9 @@ from ..functions.text import fingerprint, locator, snippet
 def neighbours(chunks: DataFrame) -> DataFrame:
     """``previous_chunk_id`` and ``next_chunk_id`` in the order of ``chunk_index`` within a document, empty at its ends.
 
-    One document is one window partition: documents bound it, a corpus does not.
+    One document is one window partition: documents bound it, a corpus does not. A chunk without a document has no neighbours.
     """
-    w = Window.partitionBy("doc_id").orderBy(F.coalesce("chunk_index", F.lit(0)), "chunk_id")
+    w = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("without: "), "chunk_id"))).orderBy(F.coalesce("chunk_index", F.lit(0)), "chunk_id")
     return chunks.select("doc_id", "chunk_id", F.lag("chunk_id", 1, "").over(w).alias("previous_chunk_id"), F.lead("chunk_id", 1, "").over(w).alias("next_chunk_id"))
 
 

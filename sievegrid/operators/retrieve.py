@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .index import corpus_stats, idf
 
 
@@ -20,11 +21,11 @@ def top_k(scored: DataFrame, k: int | None, score: str = "score") -> DataFrame:
 def bm25(queries: DataFrame, postings: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, stats: DataFrame | None = None) -> DataFrame:
     """BM25 of ``queries(query_id, collection, keywords)`` against the postings of their collection; terms are matched as given.
 
-    Only postings of asked terms are read into the scoring: the query terms are the small side of the first join, and document
-    frequencies are counted on what it leaves. ``stats`` are the statistics of the collections where they are stored, else they are counted.
+    Only postings of asked terms are read into the scoring: the query terms are the small side of the first join, what it leaves is written down
+    once, and document frequencies are counted on it. ``stats`` are the statistics of the collections where they are stored, else they are counted.
     """
     terms = queries.select("query_id", "collection", F.explode("keywords").alias("term"))
-    asked = postings.join(terms.select("collection", "term").distinct(), ["collection", "term"], "left_semi")
+    asked = materialize(postings.join(terms.select("collection", "term").distinct(), ["collection", "term"], "left_semi"), "asked")
     stats = (corpus_stats(postings) if stats is None else stats).select("collection", "num_docs", "avg_doc_length")
     df = asked.groupBy("collection", "term").agg(F.count("*").alias("df")).join(stats, "collection")
     weight = df.select("collection", "term", "avg_doc_length", idf(F.col("num_docs"), F.col("df")).alias("idf"))

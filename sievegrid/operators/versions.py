@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def key_states(df: DataFrame, keys: Sequence[str], at: str = "loaded_at", deleted: str | None = "deleted_at") -> DataFrame:
     """One narrow row per key: ``first_at``, ``current_at`` and ``is_deleted`` of its current row.
@@ -37,14 +39,15 @@ def live_rows(df: DataFrame, keys: Sequence[str], where: Column | None = None, a
 
     Of rows that share the greatest ``at`` a deletion wins, else one of them is taken. ``where`` is tested on the current row only; rows that fail it are
     dropped before the join, so a selective predicate keeps the wide columns out of the shuffle. Rows read from Parquet are known by their place
-    in the files: one narrow row a key is aggregated, and the wide columns meet it in a single semi-join, without being grouped themselves.
+    in the files: one narrow row a key is aggregated, and the wide columns meet it in a single semi-join, without being grouped themselves;
+    ``df`` must not hold a shuffle then.
     """
     placed = _identified(df)
     if placed is not None:
         gone = F.col(deleted).isNotNull() if deleted else F.lit(False)
         newest = F.max(F.struct(F.col(at).alias("at"), gone.alias("gone"), "__file", "__row")).alias("s")
         taken = placed.groupBy(*keys).agg(newest).where("not s.gone").select(F.col("s.__file").alias("__f"), F.col("s.__row").alias("__r"))
-        wide = placed if where is None else placed.where(where)
+        wide = spread(placed if where is None else placed.where(where))
         return wide.join(taken, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")), "left_semi").drop("__file", "__row")
     states = key_states(df, keys, at, deleted).where(~F.col("is_deleted")).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("current_at").alias("__at"))
     wide = df if where is None else df.where(where)

@@ -43,7 +43,8 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    return retrieve.bm25(asked(spark, d), index.term_frequencies(live_chunks(spark, d)), k)
+    c = live_chunks(spark, d)
+    return retrieve.bm25(asked(spark, d), index.term_frequencies(c), k, stats=index.stats_of_chunks(c))
 
 
 def dense_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:

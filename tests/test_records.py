@@ -179,6 +179,10 @@ def test_parent_texts_and_placeholders(spark):
     c = spark.createDataFrame([("d", "c1", 0, "A", "one", 3), ("d", "c2", 1, "A", "two", None), ("d", "c3", 2, "B", None, 5)], "doc_id string, chunk_id string, chunk_index int, section string, text string, page int")
     got = sorted((r.text, r.child_ids, r.page_start, r.page_end) for r in chunking.parents(c, 10).collect())
     assert got == [("", ["c3"], 5, 5), ("one\n\ntwo", ["c1", "c2"], 3, 3)]
+    lost = spark.createDataFrame([(None, "n1", 0, "A", "x"), (None, "n2", 1, "A", "y")], "doc_id string, chunk_id string, chunk_index int, section string, text string")
+    assert sorted((r.chunk_id, r.group_no) for r in chunking.parent_groups(lost).collect()) == [("n1", 0), ("n2", 0)]
+    assert chunking.parents(lost.withColumn("page", F.lit(1))).count() == 2
+    assert {(r.previous_chunk_id, r.next_chunk_id) for r in evidence.neighbours(lost).collect()} == {("", "")}
     d = spark.createDataFrame([(1, "s", "a\n| h |\n|---|\n| 1 |\nb\n| no table |"), (2, None, "plain"), (3, "s", None), (4, "s", "")], "doc_id int, source_path string, text string")
     texts = {r.doc_id: r.text for r in chunking.with_placeholders(d).collect()}
     ident = chunking.tables(d).first().table_id
