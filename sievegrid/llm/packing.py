@@ -11,25 +11,29 @@ from ..session import broadcast_if_small, materialize
 
 
 def best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
-    """How often to take each size so that the sum of prices is largest within ``capacity``: the knapsack by dynamic programming."""
-    value, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """How often to take each size so that the sum of prices is largest within ``capacity``: the knapsack by dynamic programming.
+
+    A size that a smaller one outbids is never needed, so only sizes dearer than all smaller ones are priced in. Each of those comes in bundles of
+    1, 2, 4 and so on, and a bundle is weighed for all capacities at once.
+    """
     order = np.argsort(sizes, kind="stable")
     s, p = sizes[order], price[order]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(s, c, "right")
-        value[c] = value[c - 1]
-        if n:
-            v = value[c - s[:n]] + p[:n]
-            i = int(v.argmax())
-            if v[i] > value[c]:
-                value[c], pick[c] = v[i], i
+    dearer = np.flatnonzero((p > np.concatenate(([0.0], np.maximum.accumulate(p)[:-1]))) & (s <= capacity))
+    value, steps = np.zeros(capacity + 1), []
+    for i in dearer:
+        n = 1
+        while n * s[i] <= capacity:
+            w = int(n * s[i])
+            with_it = value[:-w] + n * p[i]
+            better = with_it > value[w:]
+            value[w:] = np.where(better, with_it, value[w:])
+            steps.append((i, n, w, better))
+            n *= 2
     taken, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            taken[order[pick[c]]] += 1
-            c -= int(s[pick[c]])
+    for i, n, w, better in reversed(steps):
+        if c >= w and better[c - w]:
+            taken[order[i]] += n
+            c -= w
     return taken
 
 
