@@ -61,9 +61,10 @@ def shown(df: DataFrame) -> DataFrame:
 
 def overlap_scores(spark: SparkSession, d: str, ranking: DataFrame) -> DataFrame:
     """Share of the keywords that occur in the chunk: a stand-in for a cross-encoder with the same inputs."""
-    c = live_chunks(spark, d).select("chunk_id", F.array_distinct(T.index_tokens("text")).alias("terms"))
+    c = live_chunks(spark, d).select("chunk_id", "text")
     j = ranking.select("query_id", "chunk_id").join(asked(spark, d).select("query_id", "keywords"), "query_id").join(c, "chunk_id")
-    return j.where(F.size("keywords") > 0).select("query_id", "chunk_id", (F.size(F.array_intersect("keywords", "terms")) / F.size("keywords")).alias("rerank_score"))
+    shared = F.size(F.array_intersect("keywords", T.index_tokens("text")))  # behind the join, so only texts in the ranking are taken apart
+    return j.where(F.size("keywords") > 0).select("query_id", "chunk_id", (shared / F.size("keywords")).alias("rerank_score"))
 
 
 def qrels(spark: SparkSession, d: str) -> DataFrame:
