@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -235,23 +235,33 @@ def near_duplicates(
 def member_pairs(members: DataFrame, pairs: DataFrame, expand: int | None = None, hot: int = 2000) -> DataFrame:
     """All pairs ``(id_a, id_b)`` of members, id_a < id_b, of one class or of two classes in ``pairs``. Their number grows with the square of a class.
 
-    With ``expand``, copies of one and the same text in a class of more members are paired only with the least id among them; different texts are always
-    paired in full. Members of a class are dealt to blocks of ``hot``, and each two blocks joined on their own, so no task holds a large class."""
-    big = members.where((F.col("class_size") > hot) & (F.col("id") == F.col("class_id"))).select("class_id", F.ceil(F.col("class_size") / hot).cast("int").alias("blocks"))
-    own = members.select("id", "class_id", "class_size", "same", F.pmod(F.xxhash64("id"), F.ceil(F.col("class_size") / hot)).cast("int").alias("block"))
+    With ``expand``, copies of one and the same text in a class of more members are paired only with the least id among them, so a group of copies of
+    any size stays linear and its other pairs follow from these; different texts are always paired in full. A class is a unit of its own, and so is each
+    group of such copies; units are dealt to blocks of ``hot`` members, and each two blocks joined on their own, so no task holds a large class."""
+    own = members.select("id", "class_id", F.lit("").alias("unit"), F.col("class_size").alias("size"))
     if expand is not None:
-        own = own.withColumn("first", F.min("id").over(Window.partitionBy("class_id", "same")))
-    alone = members.where("class_size > 1 and id = class_id").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
-    cells = pairs.select("class_a", "class_b").unionByName(alone)
+        copies = members.where(F.col("class_size") > expand).groupBy("class_id", "same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        copies = broadcast_if_small(materialize(copies, "copies"), 120)
+        named = F.coalesce(F.concat(F.lit("="), "first"), F.lit(""))
+        own = members.join(copies, ["class_id", "same"], "left").select("id", "class_id", named.alias("unit"), F.coalesce("n", "class_size").alias("size"))
+    blocks = F.ceil(F.col("size") / hot).cast("int")
+    units = own.groupBy("class_id", "unit").agg(F.max("size").alias("size")).withColumn("blocks", blocks)
+    one, two = (units.select(F.col("class_id").alias(f"class_{s}"), F.col("unit").alias(f"unit_{s}"), F.col("size").alias(f"size_{s}"), F.col("blocks").alias(f"blocks_{s}")) for s in "ab")
+    within = one.where("size_a > 1").join(two.where("size_b > 1"), F.col("class_a") == F.col("class_b")).where("unit_a < unit_b or (unit_a = unit_b and unit_a = '')")
+    between = pairs.select("class_a", "class_b").join(one, "class_a").join(two, "class_b")
+    keys = [f"{c}_{s}" for s in "ab" for c in ("class", "unit", "block")]
+    cells = within.unionByName(between)
     for s in "ab":
-        cells = cells.join(big.select(F.col("class_id").alias(f"class_{s}"), "blocks"), f"class_{s}", "left")
-        cells = cells.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    keys = ["class_a", "block_a", "class_b", "block_b"]
-    x, y = (cells.join(own.toDF(*[f"{c}_{s}" if c in ("class_id", "block") else f"{s}_{c}" for c in own.columns]).withColumnRenamed(f"class_id_{s}", f"class_{s}"), [f"class_{s}", f"block_{s}"]) for s in "ab")
-    both = x.join(y, keys).where("class_a <> class_b or a_id < b_id")
-    if expand is not None:
-        both = both.where((F.col("class_a") != F.col("class_b")) | (F.col("a_same") != F.col("b_same")) | (F.col("a_class_size") <= expand) | (F.col("a_id") == F.col("a_first")))
-    return both.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
+        cells = cells.withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0), F.col(f"blocks_{s}") - 1)))
+    cells = cells.select(keys)
+    dealt = own.select("id", "class_id", "unit", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    x, y = (cells.join(dealt.toDF(f"{s}_id", *keys[at : at + 3]), keys[at : at + 3]) for s, at in (("a", 0), ("b", 3)))
+    both = x.join(y, keys).where("class_a <> class_b or unit_a <> unit_b or a_id < b_id")
+    out = both.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
+    if expand is None:
+        return out
+    first = F.substring("unit", 2, 1 << 30)
+    return out.unionByName(own.where(F.col("unit") != "").select(first.alias("id_a"), F.col("id").alias("id_b")).where("id_a <> id_b"))
 
 
 def duplicate_groups(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -44,8 +44,12 @@ def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_duplicates(table(spark, d, "chunks"), "chunk_id", "text", threshold=0.7, at="loaded_at", deleted="deleted_at")
 
 
+#: Copies of one text in a class of more chunks than this are paired with their least id only.
+COPIES = 1000
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.member_pairs(*_alike(spark, d)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+    return neardup.member_pairs(*_alike(spark, d), expand=COPIES).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:

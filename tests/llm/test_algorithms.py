@@ -116,6 +116,17 @@ def test_large_classes_lose_no_pair_of_texts(spark):
     assert got == {(a, b) for a, b in want if texts[a] != texts[b] or a == "c00" or a == "d0"}
 
 
+def test_hundred_thousand_copies(spark):
+    n = 100_000
+    copies = spark.range(n).selectExpr("printf('c%06d', id) as id", "'c000000' as class_id", f"{n + 3}L as class_size", "1L as same")
+    others = spark.createDataFrame([("c100000", "c000000", n + 3, 2), ("c100001", "c000000", n + 3, 3), ("c100002", "c000000", n + 3, 3), ("", "", 1, 4)], copies.schema)
+    pairs = spark.createDataFrame([("", "c000000", 0.9)], "class_a string, class_b string, similarity double")
+    got = neardup.member_pairs(copies.unionByName(others), pairs, expand=1000)
+    at = got.groupBy("id_a").count().collect()
+    assert {(r.id_a, r["count"]) for r in at if r["count"] > 3} == {("c000000", n - 1 + 3), ("", n + 3)}
+    assert got.count() == got.distinct().count() == (n - 1) + 3 * n + 1 + 2 + (n + 3)
+
+
 def test_hot_bands_in_blocks_lose_nothing(spark):
     rng = random.Random(6)
     base = _chunk(rng).split()
