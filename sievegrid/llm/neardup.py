@@ -245,10 +245,11 @@ def member_pairs(members: DataFrame, pairs: DataFrame, expand: int | None = None
         named = F.coalesce(F.concat(F.lit("="), "first"), F.lit(""))
         own = members.join(copies, ["class_id", "same"], "left").select("id", "class_id", named.alias("unit"), F.coalesce("n", "class_size").alias("size"))
     blocks = F.ceil(F.col("size") / hot).cast("int")
-    units = own.groupBy("class_id", "unit").agg(F.max("size").alias("size")).withColumn("blocks", blocks)
-    one, two = (units.select(F.col("class_id").alias(f"class_{s}"), F.col("unit").alias(f"unit_{s}"), F.col("size").alias(f"size_{s}"), F.col("blocks").alias(f"blocks_{s}")) for s in "ab")
-    within = one.where("size_a > 1").join(two.where("size_b > 1"), F.col("class_a") == F.col("class_b")).where("unit_a < unit_b or (unit_a = unit_b and unit_a = '')")
-    between = pairs.select("class_a", "class_b").join(one, "class_a").join(two, "class_b")
+    # a class of one member needs no row here: it is one unit of one block
+    units = own.where("size > 1").groupBy("class_id", "unit").agg(F.max("size").alias("size")).withColumn("blocks", blocks)
+    one, two = (units.select(F.col("class_id").alias(f"class_{s}"), F.col("unit").alias(f"unit_{s}"), F.col("blocks").alias(f"blocks_{s}")) for s in "ab")
+    within = one.join(two, F.col("class_a") == F.col("class_b")).where("unit_a < unit_b or (unit_a = unit_b and unit_a = '')")
+    between = pairs.select("class_a", "class_b").join(one, "class_a", "left").join(two, "class_b", "left").na.fill("", ["unit_a", "unit_b"]).na.fill(1, ["blocks_a", "blocks_b"])
     keys = [f"{c}_{s}" for s in "ab" for c in ("class", "unit", "block")]
     cells = within.unionByName(between)
     for s in "ab":
