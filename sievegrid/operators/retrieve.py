@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..functions.text import index_tokens
+from ..session import broadcast_if_small, materialize
 from .index import corpus_stats, idf
 
 
@@ -35,6 +37,65 @@ def bm25(queries: DataFrame, postings: DataFrame, k: int = 10, k1: float = 1.5,
     return top_k(hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k)
 
 
+def bm25_of_texts(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, block: int = 65536, part: int = 32768) -> DataFrame:
+    """``bm25`` straight from ``chunks(collection, chunk_id, text)``, one row a chunk, without postings.
+
+    Queries meet far more chunks than there are chunks, as one hit a query and chunk grows with the square of the data, so hits are not shuffled: the texts are taken
+    apart once and written down, the queries of a collection are dealt to blocks of about ``block``, its chunks to parts of about ``part``, and each block meets each part in
+    one task, which keeps the best ``k`` of a query. All terms of a chunk lie in one part, so its score is whole there. Chunks without an asked term are no
+    results; a null collection matches nothing.
+    """
+    ids = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    terms = materialize(queries.where("collection is not null").select("query_id", "collection", F.explode("keywords").alias("term")), "terms")
+    texts = materialize(chunks.select("collection", "chunk_id", index_tokens("text").alias("terms")), "tokens").where("collection is not null and size(terms) > 0")
+    stats = texts.groupBy("collection").agg(F.count("*").alias("num_docs"), F.avg(F.size("terms")).alias("avg_doc_length"))
+    wanted = broadcast_if_small(materialize(terms.select("collection", "term").distinct(), "wanted"), 60)
+    df = texts.select("collection", F.explode(F.array_distinct("terms")).alias("term")).join(wanted, ["collection", "term"], "left_semi").groupBy("collection", "term").agg(F.count("*").alias("df"))
+    dealt = terms.groupBy("collection").agg(F.ceil(F.count_distinct("query_id") / block).cast("int").alias("blocks"))
+    cells = materialize(stats.join(dealt, "collection").withColumn("parts", F.ceil(F.col("num_docs") / part).cast("int")), "cells")
+    few = broadcast_if_small(cells, 80)
+    left = terms.join(df, ["collection", "term"]).join(few, "collection").select(
+        "query_id", "term", idf(F.col("num_docs"), F.col("df")).alias("idf"), "avg_doc_length", "collection", F.pmod(F.xxhash64("query_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = texts.join(few, "collection").select("chunk_id", "terms", "collection", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("chunk_id"), "parts").alias("part"))
+
+    def score(a: pa.Table, b_: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if a.num_rows and b_.num_rows:
+            a, b_ = a.sort_by("query_id"), b_.sort_by("chunk_id")  # so that ties at the edge go by id
+            words = pc.unique(a.column("term"))
+            lists = b_.column("terms").combine_chunks()
+            dl, n = np.diff(lists.offsets.to_numpy()), b_.num_rows
+            at = pc.index_in(lists.flatten(), value_set=words).to_numpy(zero_copy_only=False)
+            hit = ~np.isnan(at)
+            pair, tf = np.unique(at[hit].astype(np.int64) * n + np.repeat(np.arange(n), dl)[hit], return_counts=True)
+            word, chunk = pair // n, pair % n
+            first = np.searchsorted(word, np.arange(len(words) + 1))
+            avg = a.column("avg_doc_length")[0].as_py()  # above 0, as chunks without a term are left out
+            share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[chunk] / avg))
+            asked, weight = pc.index_in(a.column("term"), value_set=words).to_numpy(), a.column("idf").to_numpy()
+            code = pc.rank(a.column("query_id"), tiebreaker="dense").to_numpy().astype(np.int64)
+            begins = np.flatnonzero(np.diff(code, prepend=0))
+            for i, j in zip(begins, [*begins[1:], len(code)]):
+                where = [slice(first[w], first[w + 1]) for w in asked[i:j]]
+                to = np.concatenate([chunk[x] for x in where])
+                if not len(to):
+                    continue
+                sums = np.bincount(to, weights=np.concatenate([weight[i + m] * share[x] for m, x in enumerate(where)]), minlength=n)
+                got = np.flatnonzero(np.bincount(to, minlength=n))
+                near = np.round(sums[got], 9)
+                if len(got) > k:  # all that tie with the edge are looked at, and the best k by score and id stay
+                    keep = near >= np.partition(near, -k)[-k]
+                    got, near = got[keep], near[keep]
+                got = got[np.lexsort((got, -near))][:k]
+                found.append((np.full(len(got), i), got, sums[got]))
+        i, j, s = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.Table.from_arrays([a.column("query_id").take(pa.array(i)), b_.column("chunk_id").take(pa.array(j)), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    key = ["collection", "block", "part"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, f"query_id {ids[0]}, chunk_id {ids[1]}, score double")
+    return top_k(found, k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

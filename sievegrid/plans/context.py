@@ -84,30 +84,37 @@ def _context(spark, d, mode, budget):
     return out.select("query_id", "chunk_id", "rank", "kind", F.sha2(F.coalesce("context", F.lit("")), 256).alias("context_hash"))
 
 
-def _cited(spark, d):
+def _cited(spark, d, lists):
     """Results with the section they lie in."""
     key = F.concat_ws("|", "collection", "parent_id")
-    r = R.with_chunks(spark, d, fuse.rrf(R.lists(spark, d))).join(R._parents(spark, d), ["collection", "chunk_id"], "left")
+    r = R.with_chunks(spark, d, fuse.rrf(lists)).join(R._parents(spark, d), ["collection", "chunk_id"], "left")
     s = live_rows(table(spark, d, "sections"), ["collection", "parent_id"]).select(
         key.alias("parent_key"), "page_start", "page_end", F.array_join(T.section_path("section_path_json"), "/").alias("section_path"))
     return r.withColumn("parent_key", F.when(F.col("parent_id").isNotNull(), key)), s
 
 
 def L16_citation_pages(spark, d):
-    r, s = _cited(spark, d)
+    r, s = _cited(spark, d, R.lists(spark, d))
     return evidence.citations(r.join(s, "parent_key", "left")).select("query_id", "index", "chunk_id", "locator")
 
 
+def _evidence(spark, d):
+    """The evidence rows, and the ranking they are made of; both rankings and the fused one are read several times, so they are written down, without the texts."""
+    sparse, dense = (materialize(x, "list") for x in R.lists(spark, d))
+    r, s = _cited(spark, d, [sparse, dense])
+    r = materialize(r.select("query_id", "chunk_id", "rank", "score", "doc_id", "page_num", "parent_key"), "ranking")
+    return evidence.evidence_rows(r, {"dense": dense, "bm25": sparse}, s), r
+
+
 def L17_evidence_rows(spark, d):
-    r, s = _cited(spark, d)
     sparse, dense = R.lists(spark, d)
+    r, s = _cited(spark, d, [sparse, dense])
     return evidence.evidence_rows(r, {"dense": dense, "bm25": sparse}, s)
 
 
 def L17_coverage(spark, d):
-    r, s = _cited(spark, d)
-    sparse, dense = R.lists(spark, d)
-    b = evidence.evidence_bundle(R.golden(spark, d), evidence.evidence_rows(r, {"dense": dense, "bm25": sparse}, s), evidence.handoff(R.asked(spark, d), r))
+    rows, r = _evidence(spark, d)
+    b = evidence.evidence_bundle(R.golden(spark, d), rows, evidence.handoff(R.asked(spark, d), r))
     return b.select("query_id", "n_evidence", "coverage", "action", F.size(F.from_json("bundle", "array<struct<chunk_id:string>>")).alias("n_in_bundle"))
 
 

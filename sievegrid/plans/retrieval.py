@@ -43,8 +43,7 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    c = live_chunks(spark, d)
-    return retrieve.bm25(asked(spark, d), index.term_frequencies(c), k, stats=index.stats_of_chunks(c))
+    return retrieve.bm25_of_texts(asked(spark, d), live_chunks(spark, d), k)
 
 
 def dense_list(spark: SparkSession, d: str, k: int = 20) -> DataFrame:

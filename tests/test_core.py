@@ -248,3 +248,20 @@ def test_components_against_union_find(spark, edges):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_bm25_of_texts_equals_bm25_of_postings_however_dealt(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(rnd.choice("ab"), f"c{i:03}", " ".join(rnd.choices(words, k=rnd.randint(1, 9)))) for i in range(120)]
+    texts += [("a", f"t{i}", "w1 w2 w2") for i in range(9)] + [("a", "null", None), ("a", "blank", " x "), (None, "nowhere", "w1 w2"), ("c", "unasked", "w1")]
+    chunks = spark.createDataFrame(texts, "collection string, chunk_id string, text string")
+    asks = [(f"q{i}", rnd.choice("ab"), rnd.sample(words, 3)) for i in range(30)] + [("none", "a", []), ("far", "b", ["absent"]), ("null", None, ["w1"]), ("empty", "z", ["w1"]), ("twice", "a", ["w1", "w1", "absent"])]
+    queries = spark.createDataFrame(asks, "query_id string, collection string, keywords array<string>")
+    cut = ["query_id", "chunk_id", F.round("score", 9).alias("score"), "rank"]
+    want = rows(retrieve.bm25(queries, index.term_frequencies(chunks), 5).select(*cut))
+    assert len(want) == 31 * 5
+    for size in ({}, {"block": 4, "part": 7}):
+        assert rows(retrieve.bm25_of_texts(queries, chunks, 5, **size).select(*cut)) == want
+    assert retrieve.bm25_of_texts(queries, chunks.where("false"), 5).count() == 0
+    assert retrieve.bm25_of_texts(queries.where("false"), chunks, 5).count() == 0

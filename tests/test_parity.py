@@ -56,3 +56,11 @@ def test_ingest_writes_each_key_once(spark, tmp_path):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.ingest_new(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.file_sha256 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("name", ("L17_coverage",))
+def test_evidence_ranks_once_and_without_shuffling_hits(spark, con, name):
+    df = catalog.QUERIES[name](spark, DATA)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 60 and "regexp_extract_all" not in plan  # the rankings are read, not computed once more for every reader
+    assert compare(spark, con, DATA, name, lambda *_: df, catalog.SQL[name]).startswith("ok")
