@@ -107,9 +107,7 @@ def _evidence(spark, d):
 
 
 def L17_evidence_rows(spark, d):
-    sparse, dense = R.lists(spark, d)
-    r, s = _cited(spark, d, [sparse, dense])
-    return evidence.evidence_rows(r, {"dense": dense, "bm25": sparse}, s)
+    return _evidence(spark, d)[0]
 
 
 def L17_coverage(spark, d):

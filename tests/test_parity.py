@@ -58,7 +58,7 @@ def test_ingest_writes_each_key_once(spark, tmp_path):
     assert sorted(r.file_sha256 for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
-@pytest.mark.parametrize("name", ("L17_coverage",))
+@pytest.mark.parametrize("name", ("L17_evidence_rows", "L17_coverage"))
 def test_evidence_ranks_once_and_without_shuffling_hits(spark, con, name):
     df = catalog.QUERIES[name](spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
