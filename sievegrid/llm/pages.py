@@ -379,7 +379,7 @@ def find_damage(rows: DataFrame, ratio: int = 8, common: int = 50000) -> tuple[D
     by coming again, and, of numbers alone on a line, by a place where no wrapping puts them. ``broken_word``: a hyphen at the line end inside a word; soft hyphens always, others unless the compound with its hyphen is
     commoner in the corpus than the word without. ``misread``: a word with signs in place of letters, or a word that is rare and turns by usual misreadings into one
     at least ``ratio`` times as common; one with signs that turns into no word of the corpus counts in a line with at least three words of plain letters. Candidates are all
-    words of the vocabulary (all words in running text of all rows) from which misreadings lead to the word, found on its trie; the fewest misreadings win, then the commoner word; ``fixed`` holds up to three, best first, and the repair
+    words of the vocabulary (all words in running text of all rows) from which misreadings lead to the word, found on its trie; the fewest misreadings win, then the commoner word; ``fixed`` holds all of them, best first, and the repair
     lets the document's own words choose among them. A word that is as a rule the only damage of its record is left alone there. Only the ``common`` most frequent words, a fixed number, are held in
     every task, to pass over sound words quickly, which decides nothing else; all others are looked up by a join. Empty texts have no damage.
     """
@@ -399,7 +399,7 @@ def find_damage(rows: DataFrame, ratio: int = 8, common: int = 50000) -> tuple[D
     found = materialize(found, "found")
     found = found.join(found.select(F.col("seen").alias("true"), F.lit(True).alias("doubtful")).distinct(), "true", "left")
     each = F.array_sort(F.collect_list(F.struct(F.coalesce("doubtful", F.lit(False)).alias("doubtful"), "cost", (-F.col("n_true")).alias("m"), "true")))
-    readings = found.groupBy("seen").agg(each.alias("each")).select("seen", F.transform(F.slice(F.filter("each", lambda x: x["doubtful"] == F.col("each")[0]["doubtful"]), 1, 3), lambda x: x["true"]).alias("fixed"))
+    readings = found.groupBy("seen").agg(each.alias("each")).select("seen", F.transform(F.filter("each", lambda x: x["doubtful"] == F.col("each")[0]["doubtful"]), lambda x: x["true"]).alias("fixed"))
     readings = materialize(readings, "readings")
 
     sound = {r.word for r in words.where(plain).join(readings.select(F.col("seen").alias("word")), "word", "left_anti").orderBy(F.desc("n"), "word").limit(common).select("word").collect()}

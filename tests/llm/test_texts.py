@@ -103,6 +103,22 @@ def test_words_misread_at_several_places(spark):
     assert got == {(1, "rnernbrane"): ["membrane"], (1, "coririectecl"): ["connected"], (2, "tumdom"): ["turnclorn"], (3, "m3rnbran3"): ["membrane"], (4, "rnembrane"): ["membrane"]}
 
 
+def test_all_readings_of_a_word_are_kept_for_the_documents_own_words(spark):
+    sound = "\n".join(f"The {w} was held beside the sample {i}." for w, n in (("ticins", 12), ("tlcins", 11), ("ticlns", 10), ("tlclns", 9), ("tielns", 8)) for i in range(n))
+    rows = _rows(spark, sound, "The tlclns was held here.\nThe t1c1ns was held there.", "The t1c1ns was held there.")
+    damage, _ = pages.find_damage(rows)
+    damage = pages.materialize(damage, "damage")
+    assert {(r.record_key, r.word): r.fixed for r in damage.collect()} == {(k, "t1c1ns"): ["ticins", "tlcins", "ticlns", "tlclns", "tielns"] for k in "12"}
+    fixed = {r.record_key: r.text for r in pages.repair_pages(rows, damage).collect()}
+    assert fixed["1"] == "The tlclns was held here. The tlclns was held there." and fixed["2"] == "The ticins was held there."
+
+
+def test_sound_words_held_in_every_task_decide_nothing(spark):
+    rows = _rows(spark, SOUND, SCAN, "A lone narnpli stands beside the common fi1m of the s4mple.")
+    few, many = (sorted(map(tuple, pages.find_damage(rows, common=n)[0].collect()), key=repr) for n in (1, 50000))
+    assert few == many and len(few) > 5
+
+
 def test_no_pages(spark):
     rows = _rows(spark, "x").where("false")
     damage, _ = pages.find_damage(rows)
