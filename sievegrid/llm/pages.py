@@ -20,7 +20,8 @@ PAIRS = {"ri": "n", "ii": "u", "rn": "m", "cl": "d", "li": "h", "vv": "w", "c":
 MERGED = {"m": "rn", "d": "cl"}
 HYPHENS = "-‐‑­¬"
 
-_RULE = re.compile(r"(?:[-_=—–─*~•]\s*){3,}")
+_RULE_SIGNS = "-_=—–─*~•"
+_RULE = re.compile(rf"(?:[{_RULE_SIGNS}]\s*){{3,}}")
 _HEADING = re.compile(r"#{1,6}\s|\d+(?:\.\d+)+\.?\s+\S.{0,60}$")
 
 
@@ -68,7 +69,7 @@ def classify(text: str) -> list[str]:
             roles.append("table")
         elif z.startswith("[IMAGE:"):
             roles.append("marker")
-        elif _RULE.fullmatch(z):
+        elif z[0] in _RULE_SIGNS and _RULE.fullmatch(z):
             roles.append("furniture")
         else:
             roles.append("text")
@@ -91,13 +92,16 @@ def classify(text: str) -> list[str]:
             before, after = open_(i - 1), open_(i + 1)
             beside = i > 0 and roles[i - 1] == "furniture" or i + 1 < len(lines) and roles[i + 1] == "furniture"
             ended = z.endswith(".")
+            # what hangs on the line alone was decided in the first look; the first letters and lengths are those the patterns ask for
             if (
-                (_SURE.fullmatch(z) or _NUMBERED.fullmatch(z)) and not ended
-                or (before or after) and _EDGE.fullmatch(z) and not ended
-                or (before and after or beside and not z.isdigit() or _BARE.fullmatch(z) and apart(i)) and _BARE.fullmatch(z)
+                not again and not ended and (_SURE.fullmatch(z) or (z[0].isdecimal() or z[-1].isdecimal()) and _NUMBERED.fullmatch(z))
+                or (before or after) and not ended and _EDGE.fullmatch(z)
+                or len(z) < 10 and _BARE.fullmatch(z) and (before and after or beside and not z.isdigit() or apart(i))
                 or z.endswith(" ...") and len(z) < 60 and ":" not in z and len(z.split()) > 3 and (i == 0 or beside or again and before and after and found)
             ):
                 roles[i], found = "furniture", True
+        if not found:  # nothing above has changed
+            break
     if found:  # lines that come again from page to page
         masked = [re.sub(r"\d+", "9", z) if r == "text" else "" for z, r in zip(bare, roles)]
         often = Counter(m for m in masked if m)
@@ -105,7 +109,7 @@ def classify(text: str) -> list[str]:
             if m and often[m] > 1 and len(m) < 80 and m[-1] not in ".,;:!?" and not _HEADING.match(m) and open_(i - 1) and open_(i + 1):
                 roles[i] = "furniture"
     for i, z in enumerate(bare):
-        if roles[i] == "text" and _HEADING.match(z) and (z[0] == "#" or open_(i - 1) and open_(i + 1)):
+        if roles[i] == "text" and (z[0] == "#" or z[0].isdecimal()) and _HEADING.match(z) and (z[0] == "#" or open_(i - 1) and open_(i + 1)):
             roles[i] = "heading"
     return roles
 
@@ -118,28 +122,45 @@ _PLAIN = re.compile(r"[a-zß-öø-ÿœ]+")
 _TERM = re.compile(r"[^\s`]+")
 _CODED = re.compile(r"\d+(?:st|nd|rd|th|d|x|x\d+|k|m|s|h)|[a-z]{1,2}\d+[a-z]?|[0-9a-f]*\d[0-9a-f]*[a-f][0-9a-f]*\d[0-9a-f]*|[a-z]+\d+", re.IGNORECASE)
 _EDGES = ".,;:!?…()[]{}<>\"'“”„»«’‘%*_/\\=~^&#·–—" + HYPHENS
+_COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
+_JOINTS = re.compile(f"[{HYPHENS}/’']")
+#: A hyphen at the end of a line.
+_CUT = re.compile(rf"[{HYPHENS}]\s*\n")
+
+
+def has_inline(text: str) -> bool:
+    """Whether ``text`` may hold code, formulas or addresses, which are no words."""
+    return "`" in text or "$" in text or "@" in text or "://" in text
+
+
+def line_terms(line: str) -> list[str]:
+    """What stands between blanks in a line of running text."""
+    return _TERM.findall(_INLINE.sub(" ", line)) if has_inline(line) else line.split()
+
+
+def term_words(term: str) -> list[str]:
+    """Lower-cased Latin words of a term, with the signs that may stand for letters; parts of compounds one by one."""
+    t = term.strip(_EDGES).lower()
+    if not t or len(t) > 40:  # longer runs are data, not words
+        return []
+    return [part for part in (_JOINTS.split(t) if not t.isalpha() else (t,)) if _WORD.fullmatch(part)]
 
 
 def line_words(line: str) -> list[str]:
-    """Lower-cased Latin words of a line of running text, with the signs that may stand for letters; parts of compounds one by one."""
-    out = []
-    for t in _TERM.findall(_INLINE.sub(" ", line) if "`" in line or "$" in line or "@" in line or "://" in line else line):
-        t = t.strip(_EDGES).lower()
-        if not t or len(t) > 40:  # longer runs are data, not words
-            continue
-        for part in re.split(f"[{HYPHENS}/’']", t) if not t.isalpha() else (t,):
-            if _WORD.fullmatch(part):
-                out.append(part)
-    return out
+    """The words of a line of running text."""
+    return [w for t in line_terms(line) for w in term_words(t)]
 
 
 def signs_in(word: str) -> int:
     return sum(c in SIGNS for c in word)
 
 
+_STANDS_FOR = re.compile("|".join(re.escape(x) for x in [*SIGNS, *PAIRS, *MERGED]))
+
+
 def may_be_misread(word: str) -> bool:
     """Whether the word holds a sign, or a letter or pair that stands for another or for two."""
-    return signs_in(word) > 0 or any(p in word for p in PAIRS) or any(c in word for c in MERGED)
+    return _STANDS_FOR.search(word) is not None
 
 
 @lru_cache(maxsize=1 << 16)
@@ -172,6 +193,31 @@ def plainly_misread(word: str) -> bool:
     return bool(inside) and all(b - a > 1 for a, b in zip(inside, inside[1:])) and len(inside) * 2 < len(core)
 
 
+class OddWords:
+    """The words of a term that are not in ``known`` and may be misread. Answers of up to ``memory`` terms are kept, so that a term that comes again is not
+    taken apart again; nothing else hangs on that number."""
+
+    def __init__(self, known: set[str], memory: int = 1 << 17) -> None:
+        self.known, self.memory = known, memory
+        self.dull: set[str] = set()
+        self.odd: dict[str, list[str]] = {}
+
+    def of(self, terms: list[str]) -> set[str]:
+        out: set[str] = set()
+        for t in set(terms).difference(self.dull):
+            if (ws := self.odd.get(t)) is None:
+                ws = [w for w in term_words(t) if w not in self.known and may_be_misread(w)]
+                if len(t) <= 64:  # longer ones fill the memory and hardly come again
+                    if len(self.dull) + len(self.odd) >= self.memory:
+                        self.dull, self.odd = set(), {}
+                    if ws:
+                        self.odd[t] = ws
+                    else:
+                        self.dull.add(t)
+            out.update(ws)
+        return out
+
+
 class LevenshteinAutomaton:
     """Accepts the words within ``k`` edits of ``word``; states are rows of edit distances, made as they are reached."""
 
@@ -292,21 +338,43 @@ def _scan(rows: DataFrame) -> DataFrame:
                 c.append(v)
 
         counts: Counter = Counter()
+        # terms are counted as they stand, those of lines that are cut or hold code apart, and each different one is taken apart once
+        plain: Counter = Counter()
+        other: Counter = Counter()
+
+        def take_apart() -> None:
+            for often in (plain, other):
+                for t, n in often.items():
+                    for w in term_words(t):
+                        counts[w] += n
+                    if often is plain and "-" in t:
+                        for w in _COMPOUND.findall(t.lower()):
+                            counts[w] += n
+                often.clear()
+
         for table, key, text in zip(b["record_table"], b["record_key"], b["text"]):
             roles, lines = classify(text), text.split("\n")
             broken = breaks(lines, roles)
             cut_end, cut_start = {x[0] for x in broken}, {x[1] for x in broken}
+            terms: list[str] = []
             for i, (s, r) in enumerate(zip(lines, roles)):
                 if r == "furniture":
                     put(table, key, i + 1, "furniture", None, None)
                 elif r == "text":
-                    terms = s.split()
-                    ws = line_words(" ".join(terms[i in cut_start : len(terms) - (i in cut_end)])) if i in cut_start or i in cut_end else line_words(s)
-                    counts.update(ws)
+                    cut = i in cut_start or i in cut_end
+                    if not cut and not has_inline(s):
+                        terms += s.split()
+                        continue
+                    whole = s.split()
+                    other.update(line_terms(" ".join(whole[i in cut_start : len(whole) - (i in cut_end)]) if cut else s))
                     if "-" in s:
-                        counts.update(t for t in re.findall(r"[^\W\d_]+-[^\W\d_]+", s.lower()))
+                        counts.update(_COMPOUND.findall(s.lower()))
             for i, _, left, sign, right in broken:
                 put(table, key, i + 1, "break" if sign in "-‐‑" else "sure", f"{left}-{right}".lower(), None)
+            plain.update(terms)
+            if len(plain) + len(other) > 1 << 17:
+                take_apart()
+        take_apart()
         for w, n in counts.items():
             put(None, None, None, "word", w, n)
         return out
@@ -405,25 +473,38 @@ def find_damage(rows: DataFrame, ratio: int = 8, common: int = 50000) -> tuple[D
     sound = {r.word for r in words.where(plain).join(readings.select(F.col("seen").alias("word")), "word", "left_anti").orderBy(F.desc("n"), "word").limit(common).select("word").collect()}
     shared = rows.sparkSession.sparkContext.broadcast(sound)
 
+    made: list[OddWords] = []  # one a task
+
     def lookup(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("record_table", "record_key", "line_no", "seen", "plainly")}
-        known = shared.value
+        if not made:
+            made.append(OddWords(shared.value))
+        odd = made[0].of
         for table, key, text in zip(b["record_table"], b["record_key"], b["text"]):
+            if not has_inline(text) and not odd(text.split()) and not _CUT.search(text):
+                continue  # no line of it can hold such a word, whatever its role
             roles, lines = classify(text), text.split("\n")
             broken = breaks(lines, roles)
             cut_end, cut_start = {x[0] for x in broken}, {x[1] for x in broken}
-            whole = [(i, line_words(s)) for i, (s, r) in enumerate(zip(lines, roles)) if r == "text"]
             joined = {i: line_words(left + right) for i, _, left, _, right in broken}
-            for i, ws in whole:
-                if i in cut_start:
-                    ws = ws[1:]
-                if i in cut_end:
-                    ws = ws[:-1] + joined[i]
-                prose = sum(len(w) > 1 and w.isalpha() for w in ws) > 2
-                for w in set(ws):
-                    if w not in known and may_be_misread(w):
-                        for c, v in zip(out.values(), (table, key, i + 1, w, prose and plainly_misread(w))):
-                            c.append(v)
+            for i, (s, r) in enumerate(zip(lines, roles)):
+                if r != "text":
+                    continue
+                ws = None
+                if i in cut_start or i in cut_end:
+                    ws = line_words(s)
+                    if i in cut_start:
+                        ws = ws[1:]
+                    if i in cut_end:
+                        ws = ws[:-1] + joined[i]
+                if not (found := odd(line_terms(s) if ws is None else ws)):
+                    continue
+                plain = {w for w in found if plainly_misread(w)}
+                if plain and sum(len(w) > 1 and w.isalpha() for w in (line_words(s) if ws is None else ws)) <= 2:
+                    plain = set()
+                for w in found:
+                    for c, v in zip(out.values(), (table, key, i + 1, w, w in plain)):
+                        c.append(v)
         return out
 
     seen = map_columns(rows, lookup, "record_table string, record_key string, line_no int, seen string, plainly boolean")

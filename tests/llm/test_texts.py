@@ -119,6 +119,40 @@ def test_sound_words_held_in_every_task_decide_nothing(spark):
     assert few == many and len(few) > 5
 
 
+def test_scan_takes_a_term_apart_once_however_often_it_comes(monkeypatch):
+    tried = []
+
+    class Counted:
+        def fullmatch(self, word):
+            tried.append(word)
+            return word_pattern.fullmatch(word)
+
+    word_pattern = pages._WORD
+    monkeypatch.setattr(pages, "_WORD", Counted())
+    monkeypatch.setattr(pages, "map_columns", lambda rows, run, schema: run)
+    n = 500
+    out = pages._scan(None)({"record_table": ["t"] * n, "record_key": [str(i) for i in range(n)], "text": ["The long-range film, the film\nwas com-\npared `x` again."] * n})
+    counts = {w: m for what, w, m in zip(out["what"], out["word"], out["n"]) if what == "word"}
+    assert counts == {"the": 2 * n, "film": 2 * n, "long": n, "range": n, "long-range": n, "was": n, "again": n}
+    assert out["what"].count("break") == n and len(tried) < 20
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="cdmrniabot-0.ÄA", min_size=1, max_size=5), max_size=6), max_size=6), st.sets(st.sampled_from(["c", "d", "rn", "cab", "m"])), st.integers(1, 4))
+def test_odd_words_are_those_of_every_term_whatever_is_remembered(lines, known, memory):
+    odd = pages.OddWords(known, memory)
+    for terms in lines + lines:
+        assert odd.of(terms) == {w for t in terms for w in pages.line_words(t) if w not in known and pages.may_be_misread(w)}
+        assert len(odd.dull) + len(odd.odd) <= memory
+
+
+def test_misread_words_are_found_where_no_term_of_the_text_is_odd(spark):
+    sound = "\n".join(f"The storms of the north are stored in part {i}." for i in range(40))
+    damage, _ = pages.find_damage(_rows(spark, sound, "the storr-\nns of the north", "the north `of` the storrns\nof $a + b$ 5torms are stored"))
+    got = {(r.record_key, r.line_no, r.kind, r.word): r.fixed for r in damage.collect()}
+    assert got == {("1", 1, "misread", "storrns"): ["storms"], ("1", 1, "broken_word", "storr-ns"): ["storrns"], ("2", 1, "misread", "storrns"): ["storms"], ("2", 2, "misread", "5torms"): ["storms"]}
+
+
 def test_no_pages(spark):
     rows = _rows(spark, "x").where("false")
     damage, _ = pages.find_damage(rows)
